@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import license_scan, secret_scan, url_filter
+from . import language_id, license_scan, secret_scan, transport_stream, url_filter
 from .common import table
 
 
@@ -31,11 +31,31 @@ def _count_kind(kind: str):
     return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
 
 
+def op6_transport_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    read = transport_stream.read_media(transport_stream.store_texts(docs))
+    return read.select(
+        "doc_id",
+        F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_bytes"),
+        *[F.col(f"stream.{c}").alias(c) for c in ("payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256")],
+        transport_stream.feature_text(F.col("stream")).alias("feature"),
+    )
+
+
+def op7_language_bloom(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = language_id.fit_languages(docs.filter(~language_id.held_out(F.col("doc_id"))))
+    out = language_id.predict_languages(docs.select("doc_id", "text"), model)
+    return out.select("doc_id", language_id.held_out(F.col("doc_id")).alias("held_out"), F.col("language.lang").alias("lang_pred"), F.col("language.score").alias("score"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_url_markov_ratio,
         op4_license_rare_tokens,
         op5_secret_trigrams,
+        op6_transport_streams,
+        op7_language_bloom,
     )
 }
