@@ -87,9 +87,21 @@ def _mixed(h: np.ndarray) -> np.ndarray:
 
 
 def prepared(text: str) -> str:
-    """Lower case, every run of non-letters as one space, a space at either end; empty if there is no letter."""
-    body = _BREAKS.sub(" ", text.lower()).strip()
-    return f" {body} " if body else ""
+    """The distinct words (runs of letters, lower-cased) between single spaces; empty if there is no letter.
+
+    A word counts once, so that a line repeated a thousand times weighs no more than one.
+    """
+    words = dict.fromkeys(_BREAKS.sub(" ", text.lower()).split())
+    return f" {' '.join(words)} " if words else ""
+
+
+def inside_words(codes: np.ndarray, n: int) -> np.ndarray:
+    """Which runs of ``n`` code points have no space but at their ends."""
+    space = codes == 32
+    out = np.ones(len(codes) - n + 1, bool)
+    for j in range(1, n - 1):
+        out &= ~space[j : len(codes) - n + 1 + j]
+    return out
 
 
 def hashed_grams(codes: np.ndarray, n: int) -> np.ndarray:
@@ -118,9 +130,11 @@ def _count_texts(texts: list[str | None], model: LanguageFilter) -> tuple[np.nda
     hits, total, letters = np.zeros((len(texts), L)), np.zeros(len(texts)), np.zeros(len(texts), bool)
 
     def count(codes: np.ndarray, owner: np.ndarray, n: int) -> None:
+        if len(codes) < n:
+            return
         g = hashed_grams(codes, n)
         own = owner[: len(g)]
-        whole = own == owner[n - 1 :]
+        whole = (own == owner[n - 1 :]) & inside_words(codes, n)
         g, own = g[whole], own[whole]
         found = model.lookup(g)
         total.__iadd__(np.bincount(own, minlength=len(texts)))
@@ -132,8 +146,7 @@ def _count_texts(texts: list[str | None], model: LanguageFilter) -> tuple[np.nda
             codes = _codes("".join(s for _, s in part))
             owner = np.repeat([i for i, _ in part], [len(s) for _, s in part])
             for n in model.config.sizes:
-                if len(codes) >= n:
-                    count(codes, owner, n)
+                count(codes, owner, n)
 
     waiting, size = [], 0
     for i, t in enumerate(texts):
@@ -176,8 +189,8 @@ def fit_languages(docs: DataFrame, text: str = "text", lang: str = "lang", confi
 
         for batch in batches:
             for t, name in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                own = [np.unique(hashed_grams(_codes(p), n)) for p in _pieces(prepared(t), longest) for n in sizes]
-                held.setdefault(name, []).append(np.unique(np.concatenate(own)))
+                own = [hashed_grams(c, n)[inside_words(c, n)] for c in map(_codes, _pieces(prepared(t), longest)) for n in sizes if len(c) >= n]
+                held.setdefault(name, []).append(np.unique(np.concatenate([*own, np.empty(0, np.uint64)])))
                 if sum(map(len, held[name])) > 1 << 21:
                     yield out(name)
         for name in list(held):
