@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, license_scan, secret_scan, transport_stream, url_filter
+from . import language_id, license_scan, mixing, secret_scan, transport_stream, url_filter, warc
 from .common import table
 
 
@@ -49,6 +49,16 @@ def op7_language_bloom(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", language_id.held_out(F.col("doc_id")).alias("held_out"), F.col("language.lang").alias("lang_pred"), F.col("language.score").alias("score"))
 
 
+def op8_pareto_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix_sources(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken", "copies")
+
+
+def op9_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    read = warc.archive_pages(spark, table(spark, sf_dir, "pages"))
+    return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -57,5 +67,7 @@ QUERIES = {
         op5_secret_trigrams,
         op6_transport_streams,
         op7_language_bloom,
+        op8_pareto_mixing,
+        op9_warc_index,
     )
 }
