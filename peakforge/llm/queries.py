@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, license_scan, mixing, secret_scan, transport_stream, url_filter, warc
+from . import language_id, license_scan, mixing, page_text, secret_scan, transport_stream, url_filter, warc
 from .common import table
 
 
@@ -14,6 +14,11 @@ def op1_url_markov_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("page_id", "host", "path", "rule", "verdict", "score")
 
 
+def op2_page_differencing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = page_text.extract_text(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op4_license_rare_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = license_scan.scan_licences(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
@@ -63,6 +68,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_url_markov_ratio,
+        op2_page_differencing,
         op4_license_rare_tokens,
         op5_secret_trigrams,
         op6_transport_streams,
