@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, license_scan, mixing, page_text, secret_scan, transport_stream, url_filter, warc
+from . import decontaminate, language_id, license_scan, mixing, page_text, secret_scan, transport_stream, url_filter, warc
 from .common import table
 
 
@@ -19,6 +19,12 @@ def op2_page_differencing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
 
 
+def op3_pigeonhole_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, items = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark")
+    found = decontaminate.find_leaks(docs, items).select("doc_id", F.explode("leaks").alias("leak"))
+    return found.select("doc_id", "leak.item_id", "leak.distance", "leak.n_words", "leak.end_word")
+
+
 def op4_license_rare_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = license_scan.scan_licences(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
@@ -69,6 +75,7 @@ QUERIES = {
     for f in (
         op1_url_markov_ratio,
         op2_page_differencing,
+        op3_pigeonhole_decontamination,
         op4_license_rare_tokens,
         op5_secret_trigrams,
         op6_transport_streams,
