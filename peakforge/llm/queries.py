@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language_id, license_scan, mixing, page_text, secret_scan, transport_stream, url_filter, warc
+from . import decontaminate, language_id, license_scan, mixing, near_dups, page_text, secret_scan, transport_stream, url_filter, warc
 from .common import table
 
 
@@ -70,6 +70,10 @@ def op9_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op10_bagminhash_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dups.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -82,5 +86,6 @@ QUERIES = {
         op7_language_bloom,
         op8_pareto_mixing,
         op9_warc_index,
+        op10_bagminhash_near_dups,
     )
 }
