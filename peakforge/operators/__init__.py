@@ -1 +1 @@
-
+"""DataFrame operators of the search engine."""

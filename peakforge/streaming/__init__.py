@@ -1 +1 @@
-
+"""Streaming search."""
