@@ -135,10 +135,10 @@ def instance_split(spark, d):
     return table(spark, d, "orders").groupBy(C.class_of(F.col("o_orderpriority"), "high", "low").alias("mode")).agg(F.count(F.lit(1)).alias("n"))
 
 
-_WORDS = "'peak@' || round(mz, 2)::DECIMAL(12, 2)::VARCHAR"
+_WORDS = "'peak@' || (floor(mz * 100 + 0.5) / 100)::DECIMAL(12, 2)::VARCHAR"
 
 
-@query(f"WITH {PEAKS} SELECT spectrum_id, {_WORDS} AS word FROM pk UNION ALL SELECT spectrum_id, 'loss@' || round(o_totalprice / 100 - mz, 2)::DECIMAL(12, 2)::VARCHAR FROM pk JOIN orders ON o_orderkey = spectrum_id WHERE o_totalprice / 100 - mz BETWEEN 5 AND 200")
+@query(f"WITH {PEAKS} SELECT spectrum_id, {_WORDS} AS word FROM pk UNION ALL SELECT spectrum_id, 'loss@' || (floor((o_totalprice / 100 - mz) * 100 + 0.5) / 100)::DECIMAL(12, 2)::VARCHAR FROM pk JOIN orders ON o_orderkey = spectrum_id WHERE o_totalprice / 100 - mz BETWEEN 5 AND 200")
 def peak_words(spark, d):
     s = spectra(spark, d)
     words = F.concat(P.peak_words(F.col("peaks")), P.loss_words(F.col("peaks"), F.col("precursor_mz") / 100))
