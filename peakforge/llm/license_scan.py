@@ -60,7 +60,7 @@ TEMPLATES = (
 def normalised(text: Column) -> Column:
     """``^ w0 w1 ... wn `` : a sentinel and the words, each between single spaces; null counts as empty."""
     body = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), NON_WORD, " ")
-    return F.concat(F.lit("^ "), F.ltrim(F.concat(body, F.lit(" "))))
+    return F.concat(F.lit("^ "), F.trim(body), F.lit(" "))
 
 
 def spaces(s: Column) -> Column:
@@ -144,7 +144,7 @@ def scan_licences(docs: DataFrame, text: str = "text", templates=TEMPLATES, anch
 
     def base(norm: Column) -> Column:
         def of(pieces: Column) -> Column:
-            total = spaces(norm) - 1
+            total = F.when(norm == "^  ", F.lit(0)).otherwise(spaces(norm) - 1)
             places = F.size(pieces) - 1
             tail = spaces(F.element_at(pieces, -1))
             return F.struct(
