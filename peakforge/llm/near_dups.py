@@ -217,11 +217,8 @@ def _only(df: DataFrame, keys: DataFrame, how: str = "left_semi") -> DataFrame:
     return df.join(F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys, "key", how)
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, config: NearConfig) -> DataFrame:
+def _verified(pairs: DataFrame, bags: DataFrame, config: NearConfig) -> DataFrame:
     """``pairs`` (a, b) whose multisets overlap enough."""
-    pairs = materialize(pairs, "near-pairs")
-    keys = materialize(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct(), "near-keys")
-    bags = materialize(_bags(_only(texts, keys), config).dropDuplicates(["key"]), "near-bags")
     one = bags.select(F.col("key").alias("a"), F.col("bag").alias("bag_a"))
     two = bags.select(F.col("key").alias("b"), F.col("bag").alias("bag_b"))
     both = pairs.join(one, "a").join(two, "b")
@@ -251,43 +248,82 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def _residual(members: DataFrame, config: NearConfig) -> DataFrame:
-    """Pairs of a bucket's members that are in different components and whose signatures agree well enough.
+def overlaps(bag: np.ndarray, others: list[np.ndarray], piece: int = 1 << 21) -> np.ndarray:
+    """Sizes of the intersections of a sorted set with others."""
+    out, at = np.zeros(len(others), np.int64), 0
+    while at < len(others):
+        end, size = at, 0
+        while end < len(others) and (end == at or size + len(others[end]) <= piece):
+            size += len(others[end])
+            end += 1
+        flat = np.concatenate(others[at:end])
+        where = np.minimum(np.searchsorted(bag, flat), len(bag) - 1)
+        owner = np.repeat(np.arange(at, end), [len(o) for o in others[at:end]])
+        out += np.bincount(owner[bag[where] == flat], minlength=len(others))
+        at = end
+    return out
+
+
+def _block_links(config: NearConfig):
+    """Links between the members of one block that are in different components, at most one for a text and component.
 
-    ``members``: bucket, key, root. In each bucket the members of its least root (which holds the key that all were
-    compared with) form one side and the rest the other; blocks of the rest meet all blocks, blocks of the one side
-    do not meet each other.
+    A pair is looked at in the first bucket that both share, if the signatures agree well enough; then the multisets
+    are compared in full.
     """
-    head = F.col("root") == F.col("least")
-    sizes = members.groupBy("bucket").agg(F.min("root").alias("least"), F.max("root").alias("most"), F.count(F.lit(1)).alias("n"))
-    sizes = sizes.filter("least <> most and n > 2").drop("most")
-    open_ = materialize(members.join(sizes, "bucket"), "open-buckets")
-    rest = open_.groupBy("bucket").agg(F.count_if(head).alias("n_head"), F.count_if(~head).alias("n_rest"))
-    blocks = lambda n: F.greatest(F.ceil(F.col(n) / config.block), F.lit(1)).cast("long")
-    open_ = open_.join(rest, "bucket").withColumns({"heads": blocks("n_head"), "rests": blocks("n_rest")})
-    own = F.pmod(F.xxhash64("key"), F.when(head, F.col("heads")).otherwise(F.col("rests")))
-    open_ = open_.select("bucket", "key", "root", "sig", head.alias("head"), own.alias("own"), "heads", "rests")
-    among = lambda n: F.sequence(F.lit(0).cast("long"), F.col(n) - 1)
-    with_heads = F.transform(among("heads"), lambda j: F.struct(F.lit(0).alias("kind"), F.col("own").alias("x"), j.alias("y")))
-    with_rests = F.transform(among("rests"), lambda j: F.struct(F.lit(1).alias("kind"), F.least(F.col("own"), j).alias("x"), F.greatest(F.col("own"), j).alias("y")))
-    of_head = F.transform(among("rests"), lambda i: F.struct(F.lit(0).alias("kind"), i.alias("x"), F.col("own").alias("y")))
-    dealt = open_.select("bucket", "key", "root", "sig", "head", F.explode(F.when(F.col("head"), of_head).otherwise(F.concat(with_heads, with_rests))).alias("at"))
     least = round((config.similarity - config.slack) * config.components)
 
     def compare(group: pd.DataFrame) -> pd.DataFrame:
-        kind = int(group["kind"].iat[0])
+        kind, bucket = int(group["kind"].iat[0]), np.int64(group["bucket"].iat[0])
         sig = np.frombuffer(b"".join(group["sig"]), np.float32).reshape(len(group), -1)
+        bands = np.stack(group["bands"].to_list())
+        bags = [np.asarray(b, np.int64).view(np.uint64) for b in group["bag"]]
+        size = np.array([len(b) for b in bags])
         key, root, head = group["key"].to_numpy(), group["root"].to_numpy(), group["head"].to_numpy()
+        here = int(np.flatnonzero(bands[0] == bucket)[0])
         found = []
         for i in np.flatnonzero(~head):
-            other = (root != root[i]) & (head if kind == 0 else (key > key[i]) & ~head)
-            j = np.flatnonzero(other)
+            near = (root != root[i]) & (head if kind == 0 else (key > key[i]) & ~head)
+            near &= np.minimum(size, size[i]) >= config.similarity * np.maximum(size, size[i]) - 1e-9
+            j = np.flatnonzero(near)
             j = j[(sig[j] == sig[i]).sum(axis=1) >= least]
-            found += [(min(key[i], key[x]), max(key[i], key[x])) for x in j]
+            j = j[(bands[j] == bands[i]).argmax(axis=1) == here]
+            if not len(j):
+                continue
+            shared = overlaps(bags[i], [bags[x] for x in j])
+            j = j[shared >= config.similarity * (size[j] + size[i] - shared) - 1e-9]
+            _, first = np.unique(root[j], return_index=True)
+            found += [(key[i], key[x]) for x in j[first]]
         return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
-    dealt = dealt.select("bucket", "key", "root", "sig", "head", "at.kind", "at.x", "at.y")
-    return dealt.groupBy("bucket", "kind", "x", "y").applyInPandas(compare, "a long, b long").distinct()
+    return compare
+
+
+#: Shingles of one side of a block, about.
+_BLOCK_SHINGLES = 1 << 20
+
+
+def _residual(members: DataFrame, signed: DataFrame, bags: DataFrame, config: NearConfig) -> DataFrame:
+    """Links (a, b) between members of one bucket that are still in different components.
+
+    ``members``: bucket, key, root, n (shingles). In each bucket the members of its least root form one side and the rest
+    the other; blocks of the rest meet all blocks, blocks of the first side do not meet each other.
+    """
+    head = F.col("root") == F.col("least")
+    sizes = members.groupBy("bucket").agg(F.min("root").alias("least"), F.max("root").alias("most"), F.count(F.lit(1)).alias("rows"))
+    open_ = materialize(members.join(sizes.filter("least <> most and rows > 2").select("bucket", "least"), "bucket"), "open-buckets")
+    weight = lambda side: F.greatest(F.ceil(F.sum(F.when(side, F.col("n")).otherwise(0)) / _BLOCK_SHINGLES), F.ceil(F.count_if(side) / config.block), F.lit(1)).cast("long")
+    blocks = open_.groupBy("bucket").agg(weight(head).alias("heads"), weight(~head).alias("rests"))
+    own = F.pmod(F.xxhash64("key"), F.when(head, F.col("heads")).otherwise(F.col("rests")))
+    open_ = open_.join(blocks, "bucket").select("bucket", "key", "root", head.alias("head"), own.alias("own"), "heads", "rests")
+    among = lambda n: F.sequence(F.lit(0).cast("long"), F.col(n) - 1)
+    with_heads = F.transform(among("heads"), lambda j: F.struct(F.lit(0).alias("kind"), F.col("own").alias("x"), j.alias("y")))
+    with_rests = F.transform(among("rests"), lambda j: F.struct(F.lit(1).alias("kind"), F.least(F.col("own"), j).alias("x"), F.greatest(F.col("own"), j).alias("y")))
+    of_head = F.transform(among("rests"), lambda i: F.struct(F.lit(0).alias("kind"), i.alias("x"), F.col("own").alias("y")))
+    dealt = open_.select("bucket", "key", "root", "head", F.explode(F.when(F.col("head"), of_head).otherwise(F.concat(with_heads, with_rests))).alias("at"))
+    dealt = dealt.select("bucket", "key", "root", "head", "at.kind", "at.x", "at.y")
+    keys = materialize(open_.select("key").distinct(), "open-keys")
+    own = materialize(_only(signed, keys).join(bags, "key"), "open-texts")
+    return dealt.join(own, "key").groupBy("bucket", "kind", "x", "y").applyInPandas(_block_links(config), "a long, b long")
 
 
 def near_classes(docs: DataFrame, text: str = "text", config: NearConfig | None = None) -> DataFrame:
@@ -298,25 +334,14 @@ def near_classes(docs: DataFrame, text: str = "text", config: NearConfig | None
     in_bands = signed.select("key", F.explode("bands").alias("bucket"))
     shared = in_bands.groupBy("bucket").agg(F.min("key").alias("leader"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
     members = materialize(in_bands.join(shared, "bucket"), "buckets")
+    keys = materialize(members.select("key").distinct(), "near-keys")
+    bags = materialize(_bags(_only(texts, keys), config).dropDuplicates(["key"]), "near-bags")
     stars = members.filter("key <> leader").select(F.col("leader").alias("a"), F.col("key").alias("b")).distinct()
-    links = materialize(_verified(stars, texts, config), "star-links")
+    links = materialize(_verified(stars, bags, config), "star-links")
     roots = components(links)
-    rooted = members.join(roots, "key", "left").select("bucket", "key", F.coalesce("root", "key").alias("root"))
-    more = _residual_pairs(rooted, signed, config)
-    tested = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    more = materialize(more.join(tested, ["a", "b"], "left_anti"), "residual-pairs")
-    if not more.isEmpty():
-        extra = _verified(more, texts, config)
-        roots = components(materialize(links.union(extra), "all-links"))
-    return roots
-
-
-def _residual_pairs(rooted: DataFrame, signed: DataFrame, config: NearConfig) -> DataFrame:
-    open_ = rooted.groupBy("bucket").agg(F.min("root").alias("least"), F.max("root").alias("most"), F.count(F.lit(1)).alias("n"))
-    open_ = open_.filter("least <> most and n > 2").select("bucket")
-    kept = materialize(rooted.join(open_, "bucket", "left_semi"), "open-members")
-    keys = materialize(kept.select("key").distinct(), "open-keys")
-    return _residual(kept.join(_only(signed.select("key", "sig"), keys), "key"), config)
+    rooted = members.select("bucket", "key").join(roots, "key", "left").join(bags.select("key", F.size("bag").alias("n")), "key")
+    more = materialize(_residual(rooted.withColumn("root", F.coalesce("root", "key")), signed, bags, config), "residual-links")
+    return roots if more.isEmpty() else components(materialize(links.union(more), "all-links"))
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", config: NearConfig | None = None) -> DataFrame:
