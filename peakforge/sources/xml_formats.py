@@ -9,6 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _CV = "array<struct<_accession:string,_value:string>>"
 MZML = f"""_index long, _id string, cvParam {_CV},
@@ -32,12 +33,12 @@ def unpack(text: str | None, bits: int, packed: bool, order: str = "<") -> list[
     return np.frombuffer(zlib.decompress(raw) if packed else raw, f"{order}f{bits // 8}").astype(float).tolist()
 
 
-@F.pandas_udf("array<double>")
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
 def _unpack_little(text: pd.Series, bits: pd.Series, packed: pd.Series) -> pd.Series:
     return pd.Series([unpack(t, b, p) for t, b, p in zip(text, bits, packed, strict=True)], dtype=object)
 
 
-@F.pandas_udf("array<double>")
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
 def _unpack_big(text: pd.Series, bits: pd.Series, packed: pd.Series) -> pd.Series:
     return pd.Series([unpack(t, b, p, ">") for t, b, p in zip(text, bits, packed, strict=True)], dtype=object)
 
