@@ -15,7 +15,7 @@ from .joins import lookup_join
 from .library import Library
 
 #: Model features in their fixed order.
-FEATURES = ("precursor_mz_library", "precursor_mz_difference", "s2v_score", "average_ms2ds_score", "average_tanimoto")
+FEATURES = ("precursor_mz_library", "precursor_mz_difference", "second_score", "average_embedding_score", "average_tanimoto")
 
 
 def neighbourhood_scores(means: DataFrame, neighbours: DataFrame, wanted: DataFrame | None = None, query: str = "query_id", key: str = "inchikey14") -> DataFrame:
@@ -28,14 +28,14 @@ def neighbourhood_scores(means: DataFrame, neighbours: DataFrame, wanted: DataFr
         reach = wanted.select(query, key).distinct().join(neighbours.select(key, "neighbour"), key).select(query, F.col("neighbour").alias(key)).distinct()
         means = means.join(reach, [query, key], "left_semi")
     near = neighbours.select(key, "neighbour", "tanimoto").join(means.select(query, F.col(key).alias("neighbour"), "mean_score"), "neighbour")
-    out = near.groupBy(query, key).agg(F.avg("mean_score").alias("average_ms2ds_score"), F.avg("tanimoto").alias("average_tanimoto"))
+    out = near.groupBy(query, key).agg(F.avg("mean_score").alias("average_embedding_score"), F.avg("tanimoto").alias("average_tanimoto"))
     return out if wanted is None else out.join(wanted.select(query, key).distinct(), [query, key], "left_semi")
 
 
 def candidates(queries: DataFrame, library: Library, k: int) -> DataFrame:
-    """The k best spectra of each query by embedding cosine: query_id, spectrum_id, inchikey14, ms2ds_score."""
+    """The k best spectra of each query by embedding cosine: query_id, spectrum_id, inchikey14, embedding_score."""
     lib = library.embeddings.join(library.spectra.select("spectrum_id", "inchikey14"), "spectrum_id")
-    return top_k_cosine(queries, lib, k, carry=("inchikey14",)).withColumnRenamed("score", "ms2ds_score")
+    return top_k_cosine(queries, lib, k, carry=("inchikey14",)).withColumnRenamed("score", "embedding_score")
 
 
 def features(queries: DataFrame, library: Library, k: int) -> DataFrame:
@@ -49,17 +49,17 @@ def features(queries: DataFrame, library: Library, k: int) -> DataFrame:
     out = found.join(around, ["query_id", "inchikey14"], "left").join(own, "query_id")
     out = out.join(library.spectra.select("spectrum_id", F.col("precursor_mz").alias("precursor_mz_library")), "spectrum_id")
     out = out.join(library.second_embeddings.select("spectrum_id", F.col("embedding").alias("__v")), "spectrum_id")
-    return out.withColumn("s2v_score", cosine(F.col("__q"), F.col("__v"))).withColumn("precursor_mz_difference", F.abs(F.col("precursor_mz_library") - F.col("precursor_mz_query"))).drop("__q", "__v")
+    return out.withColumn("second_score", cosine(F.col("__q"), F.col("__v"))).withColumn("precursor_mz_difference", F.abs(F.col("precursor_mz_library") - F.col("precursor_mz_query"))).drop("__q", "__v")
 
 
 def linear_score(f: Callable[[str], Column] = F.col) -> Column:
     """A fixed linear model of the features, where no trained model is given."""
-    return f("average_ms2ds_score") * 0.5 + f("average_tanimoto") * 0.3 + f("s2v_score") * 0.2 - F.least(f("precursor_mz_difference") / 1000.0, F.lit(0.5))
+    return f("average_embedding_score") * 0.5 + f("average_tanimoto") * 0.3 + f("second_score") * 0.2 - F.least(f("precursor_mz_difference") / 1000.0, F.lit(0.5))
 
 
 def rank_results(scored: DataFrame, n: int, minimum: float, score: str = "prediction", query: str = "query_id") -> DataFrame:
     """The n best of each query (ties: embedding score, id), then only those above ``minimum`` (strictly)."""
-    w = Window.partitionBy(query).orderBy(F.desc(score), F.desc("ms2ds_score"), "spectrum_id")
+    w = Window.partitionBy(query).orderBy(F.desc(score), F.desc("embedding_score"), "spectrum_id")
     return scored.withColumn("rank", F.row_number().over(w).cast("long")).filter((F.col("rank") <= n) & (F.col(score) > minimum))
 
 
@@ -75,7 +75,7 @@ def export_results(ranked: DataFrame, library: Library, settings: SearchSettings
     if classes:
         out = lookup_join(out, library.structures.select("inchikey14", *OUTPUT_CLASSES), "inchikey14")
     out = out.join(numbers, "query_id") if numbers is not None else out.withColumn("query_spectrum_nr", F.col("query_id") + 1)
-    names = {"ms2query_model_prediction": "prediction", "precursor_mz_query_spectrum": "precursor_mz_query", "precursor_mz_analog": "precursor_mz_library", "analog_compound_name": "compound_name"}
+    names = {"model_prediction": "prediction", "precursor_mz_query_spectrum": "precursor_mz_query", "precursor_mz_analog": "precursor_mz_library", "analog_compound_name": "compound_name"}
     columns = [F.col(names.get(c, c)).alias(c) if names.get(c, c) in out.columns else F.lit(None).cast("string").alias(c) for c in output_columns(settings.metadata_columns, settings.score_columns, classes)]
     return out.select(*columns, F.col("rank"))
 

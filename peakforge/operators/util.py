@@ -21,12 +21,12 @@ def global_rank(df: DataFrame, *order: Column | str, column: str = "rank") -> Da
 
     Rows are dealt by range and sorted within; one count per range gives the offsets.
     """
-    dealt = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__at", F.monotonically_increasing_id())
-    dealt = stable(dealt.withColumn("__part", F.shiftright("__at", 33)).withColumn("__at", F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))))
-    counts = sorted((r[0], r[1]) for r in dealt.groupBy("__part").count().collect())  # a row per range
+    dealt = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__rank_at", F.monotonically_increasing_id())
+    dealt = stable(dealt.withColumn("__rank_part", F.shiftright("__rank_at", 33)).withColumn("__rank_at", F.col("__rank_at").bitwiseAND(F.lit((1 << 33) - 1))))
+    counts = sorted((r[0], r[1]) for r in dealt.groupBy("__rank_part").count().collect())  # a row per range
     starts = accumulate((n for _, n in counts), initial=0)
     offset = F.create_map(*[F.lit(x) for (part, _), start in zip(counts, starts) for x in (part, start)]) if counts else F.create_map(F.lit(0), F.lit(0))  # noqa: B905
-    return dealt.withColumn(column, (offset[F.col("__part")] + F.col("__at") + 1).cast("long")).drop("__part", "__at")
+    return dealt.withColumn(column, (offset[F.col("__rank_part")] + F.col("__rank_at") + 1).cast("long")).drop("__rank_part", "__rank_at")
 
 
 def seeded(key: Column, seed: str | int) -> Column:

@@ -39,7 +39,7 @@ CLASS_COLUMNS = (
 #: npc_isglycoside is stored with a library but is no output column.
 OUTPUT_CLASSES = CLASS_COLUMNS[:-1]
 RESULT_COLUMNS = (
-    "query_spectrum_nr", "ms2query_model_prediction", "precursor_mz_difference", "precursor_mz_query_spectrum",
+    "query_spectrum_nr", "model_prediction", "precursor_mz_difference", "precursor_mz_query_spectrum",
     "precursor_mz_analog", "inchikey", "analog_compound_name", "smiles",
 )
 

@@ -21,10 +21,13 @@ def free_name(path: str) -> str:
     return out
 
 
-def write_results(results: DataFrame, path: str, single: bool = False) -> None:
-    """Result rows as CSV with a header, four decimals, in order of query and rank; ``single``: one file, for small results."""
+def write_results(results: DataFrame, path: str, single: bool = False, names: dict[str, str] | None = None) -> None:
+    """Result rows as CSV with a header, four decimals, in order of query and rank; ``single``: one file, for small results.
+
+    ``names``: other header names for columns, where readers of the files expect them.
+    """
     out = results.coalesce(1) if single else results.repartitionByRange("query_spectrum_nr")
-    out = formatted(out.sortWithinPartitions("query_spectrum_nr", "rank").drop("rank"))
+    out = formatted(out.sortWithinPartitions("query_spectrum_nr", "rank").drop("rank")).withColumnsRenamed(names or {})
     out.write.mode("errorifexists").csv(path, header=True, emptyValue="")
 
 

@@ -21,18 +21,18 @@ def test_settings():
 
 
 def test_output_columns():
-    cols = output_columns(("retention_time",), ("s2v_score",))
-    assert cols[0] == "query_spectrum_nr" and cols[8:10] == ["retention_time", "s2v_score"] and "npc_isglycoside" not in cols and len(cols) == 18
+    cols = output_columns(("retention_time",), ("second_score",))
+    assert cols[0] == "query_spectrum_nr" and cols[8:10] == ["retention_time", "second_score"] and "npc_isglycoside" not in cols and len(cols) == 18
     assert len(output_columns(classes=False)) == 8
 
 
 def test_preselection_golden(spark):
-    df = spark.createDataFrame([("A", 0.2), ("B", 0.7), ("C", 0.99), ("D", 0.4)], "spectrum_id string, prediction double").withColumns({"query_id": F.lit(1), "ms2ds_score": F.lit(0.0)})
+    df = spark.createDataFrame([("A", 0.2), ("B", 0.7), ("C", 0.99), ("D", 0.4)], "spectrum_id string, prediction double").withColumns({"query_id": F.lit(1), "embedding_score": F.lit(0.0)})
     assert [r.spectrum_id for r in rank_results(df, 3, 0.0).orderBy("rank").collect()] == ["C", "B", "D"]
 
 
 def test_threshold_is_strict(spark):
-    df = spark.createDataFrame([(1, 0.5), (2, 0.6)], "spectrum_id long, prediction double").withColumns({"query_id": F.lit(1), "ms2ds_score": F.lit(0.0)})
+    df = spark.createDataFrame([(1, 0.5), (2, 0.6)], "spectrum_id long, prediction double").withColumns({"query_id": F.lit(1), "embedding_score": F.lit(0.0)})
     assert [r.spectrum_id for r in rank_results(df, 5, 0.5).collect()] == [2]
 
 
@@ -41,7 +41,7 @@ def test_neighbour_mean_golden(spark):
     means = spark.createDataFrame([(1, f"k{i}", v) for i, v in enumerate(values)], "query_id long, inchikey14 string, mean_score double")
     near = spark.createDataFrame([("x", f"k{i}", 1.0) for i in range(10)], "inchikey14 string, neighbour string, tanimoto double")
     wanted = spark.createDataFrame([(1, "x")], "query_id long, inchikey14 string")
-    assert neighbourhood_scores(means, near, wanted).first().average_ms2ds_score == pytest.approx(0.72)
+    assert neighbourhood_scores(means, near, wanted).first().average_embedding_score == pytest.approx(0.72)
 
 
 def test_representative_takes_first_of_equals(spark):
