@@ -117,7 +117,7 @@ def mix_sources(docs: DataFrame, text: str = "text", source: str = "source", doc
 
     own = docs.select(*[F.col(f"`{c}`") for c in rest], size.alias("size"), u.alias("__u"))
     own = own.alias("d").join(hint(plan.alias("t")), F.col(f"d.{source}").eqNullSafe(F.col("t.source")), "left")
-    own = own.select(*[F.col(f"d.`{c}`") for c in rest], F.col("d.size"), F.col("d.__u"), F.col("t.source_size"), F.col("t.target"), F.col("t.cut"), *[c.alias(f"__{n}") for n, c in expected("t").items()])
-    hit = F.coalesce((pareto_rank(F.col("__u"), F.col("__share")) <= F.col("cut")).cast("long"), F.lit(0))
+    own = own.select(*[F.col(f"d.`{c}`") for c in rest], F.col("d.size"), F.col("d.__u"), F.col("t.source_size"), F.col("t.target"), F.col("t.cut").alias("__cut"), *[c.alias(f"__{n}") for n, c in expected("t").items()])
+    hit = F.coalesce((pareto_rank(F.col("__u"), F.col("__share")) <= F.col("__cut")).cast("long"), F.lit(0))
     own = own.withColumn("copies", F.col("__certain") + hit).withColumn("taken", F.col("copies") * F.col("size"))
     return own.select(*[F.col(f"`{c}`") for c in rest], *mine)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from .license_scan import BASE_PHRASES, NON_WORD, TEMPLATES
 from .mixing import SCALE
 from .secret_scan import BASE_RULES, RULES
+from .url_filter import HOST_PATH, MarkovConfig
+from .url_filter import RULES as URL_RULES
 
 
 def _text(s: str) -> str:
@@ -82,7 +84,41 @@ NEAR = """WITH RECURSIVE t AS (SELECT text, min(doc_id) AS id FROM documents WHE
  c AS (SELECT a AS id, min(root) AS class_id FROM reach GROUP BY a)
  SELECT d.doc_id, coalesce(c.class_id, d.doc_id) AS class_id FROM documents d LEFT JOIN t ON t.text = d.text LEFT JOIN c ON c.id = t.id"""
 
+
+
+def url_sql() -> str:
+    """For fewer labelled URLs than the sample holds, so that its order plays no part."""
+    c, k = MarkovConfig(), MarkovConfig().order + 1
+    rules = sorted(URL_RULES, key=lambda r: (-len(r.name), r.name))
+    fits = [f"(host = {_text(r.host)} OR ends_with(host, {_text('.' + r.host)})) AND starts_with(path, {_text(r.path)})" for r in rules]
+    rule = "CASE " + " ".join(f"WHEN {f} THEN {_text(r.name)}" for f, r in zip(fits, rules, strict=True)) + " END"
+    verdict = "CASE rule " + " ".join(f"WHEN {_text(r.name)} THEN {_text(r.verdict)}" for r in rules) + " END"
+    padded = f"repeat(chr(2), {c.order}) || lower(url) || chr(3)"
+
+    def probability(x: str) -> str:
+        p = f"(1.0::DOUBLE / {c.alphabet})"
+        for j in range(1, k + 1):
+            total, kinds = f"coalesce(h{j}.c{x}, 0)", f"coalesce(h{j}.t{x}, 0)"
+            p = f"(CASE WHEN {total} > 0 THEN (coalesce(g{j}.{x}, 0) + {kinds} * {p}) / ({total} + {kinds}) ELSE {p} END)"
+        return p
+
+    joins = " ".join(f"LEFT JOIN cnt g{j} ON g{j}.g = substring(s, i - {j - 1}, {j}) LEFT JOIN ctx h{j} ON h{j}.h = substring(s, i - {j - 1}, {j - 1})" for j in range(1, k + 1))
+    grams = ", ".join(f"substring(s, i - {j - 1}, {j})" for j in range(1, k + 1))
+    return f"""WITH b AS (SELECT page_id, url, translate(coalesce(regexp_extract(url, {_text(HOST_PATH)}, 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, coalesce(regexp_extract(url, {_text(HOST_PATH)}, 2), '') AS path FROM pages),
+ u AS (SELECT *, {rule} AS rule FROM b),
+ lab AS (SELECT DISTINCT url, {verdict} = 'allow' AS accepted, ('0x' || substring(md5(url), 1, 8))::BIGINT % 4 AS fold FROM u WHERE rule IS NOT NULL AND length(url) <= {c.max_chars}),
+ urls AS (SELECT url, s, unnest(range({k}, length(s) + 1)) AS i FROM (SELECT DISTINCT url, {padded} AS s FROM pages WHERE url IS NOT NULL)),
+ cnt AS (SELECT g, count(*) FILTER (WHERE accepted) AS a, count(*) FILTER (WHERE NOT accepted) AS r FROM (SELECT accepted, unnest([{grams}]) AS g FROM urls JOIN lab USING (url) WHERE fold <> 0) GROUP BY g),
+ ctx AS (SELECT substring(g, 1, length(g) - 1) AS h, sum(a)::DOUBLE AS ca, count(*) FILTER (WHERE a > 0) AS ta, sum(r)::DOUBLE AS cr, count(*) FILTER (WHERE r > 0) AS tr FROM cnt GROUP BY 1),
+ sc AS (SELECT url, avg(ln({probability("a")}) - ln({probability("r")})) AS score FROM urls {joins} GROUP BY url),
+ held AS (SELECT score, count(*) FILTER (WHERE accepted) AS a, count(*) FILTER (WHERE NOT accepted) AS r FROM sc JOIN lab USING (url) WHERE fold = 0 GROUP BY score),
+ gain AS (SELECT score, (sum(r) OVER o - r) / sum(r) OVER () - (sum(a) OVER o - a) / sum(a) OVER () AS gain, (score + coalesce(lag(score) OVER (ORDER BY score), score)) / 2 AS cut FROM held WINDOW o AS (ORDER BY score ROWS UNBOUNDED PRECEDING)),
+ cut AS (SELECT coalesce((SELECT cut FROM gain WHERE gain IS NOT NULL ORDER BY gain DESC, score LIMIT 1), 0) AS cut)
+ SELECT page_id, host, path, rule, coalesce({verdict}, CASE WHEN score < cut THEN 'block' ELSE 'allow' END) AS verdict, round(score, 6) AS score FROM u LEFT JOIN sc USING (url), cut"""
+
+
 ORACLES: dict[str, str] = {
+    "op1_url_markov_ratio": url_sql(),
     "op4_license_rare_tokens": licence_sql(),
     "op5_secret_trigrams": secret_sql(),
     "op8_pareto_mixing": MIXING,

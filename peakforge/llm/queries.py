@@ -11,7 +11,7 @@ from .common import table
 
 def op1_url_markov_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = url_filter.judge_urls(table(spark, sf_dir, "pages").select("page_id", "url"))
-    return judged.select("page_id", "host", "path", "rule", "verdict", "score")
+    return judged.select("page_id", "host", "path", "rule", "verdict", F.round("score", 6).alias("score"))
 
 
 def op2_page_differencing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -190,7 +190,7 @@ def brute_targets(sizes, weights=(5, 2, 1)):
 def test_mixing(spark):
     rng = random.Random(2)
     rows = [(i, " ".join("w" * rng.randrange(1, 60)) if i % 11 else None, rng.choice(["b", "a", "c", "d", None, "hot", "hot", "hot"])) for i in range(3000)]
-    df = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, source string, size string")
+    df = spark.createDataFrame([(*r, "x", "y") for r in rows], "doc_id long, text string, source string, size string, cut string")
     out = M.mix_sources(df).collect()
     sizes, taken = {}, {}
     for r in out:
