@@ -45,10 +45,9 @@ def secret_sql() -> str:
     for no, r in enumerate(RULES):
         parts.append(
             f"""SELECT doc_id, {no} AS no, {_text(r.kind)} AS kind, unnest(ms) AS m, unnest(ks) AS k, unnest(list_transform(range(1, len(ms) + 1), lambda i: list_sum(list_transform(ms[:i], lambda x: length(x))) + list_sum(list_transform(ps[:i], lambda x: length(x)))))::BIGINT AS e
- FROM (SELECT doc_id, regexp_extract_all(t, {_text(r.pattern)}) AS ms, regexp_extract_all(t, {_text(r.pattern)}, {r.group}) AS ks, regexp_split_to_array(t, {_text(r.pattern)}) AS ps FROM d WHERE regexp_matches(t, {_text(r.pattern)}))
- QUALIFY true"""
+ FROM (SELECT doc_id, regexp_extract_all(t, {_text(r.pattern)}) AS ms, regexp_extract_all(t, {_text(r.pattern)}, {r.group}) AS ks, regexp_split_to_array(t, {_text(r.pattern)}) AS ps FROM d WHERE regexp_matches(t, {_text(r.pattern)}))"""
         )
-    found = " UNION ALL ".join(f"(SELECT doc_id, no, kind, e - length(m) AS s, e FROM ({p.replace(' QUALIFY true', '')}) WHERE length(k) >= {r.least})" for p, r in zip(parts, RULES, strict=True))
+    found = " UNION ALL ".join(f"(SELECT doc_id, no, kind, e - length(m) AS s, e FROM ({p}) WHERE length(k) >= {r.least})" for p, r in zip(parts, RULES, strict=True))
     base = ", ".join(_text(r.kind) for r in BASE_RULES)
     joined = "coalesce(string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, no){0}, '')"
     counts = ", ".join(f"count(kind) FILTER (WHERE kind = {_text(r.kind)}) AS n_{r.kind}" for r in BASE_RULES)
