@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from ..operators import evaluation as E
 from ..operators import joins as J
-from .registry import long, query, spectra, table
+from .registry import ORACLES, long, query, spectra, table
 
 
 @query("SELECT event_id, value FROM events WHERE value BETWEEN 100 AND 120")
@@ -12,10 +12,10 @@ def precursor_window(spark, d):
     return J.range_scan(table(spark, d, "events").select("event_id", "value"), "value", 100, 120)
 
 
-def _mass_pairs(spark, d, tolerance):
+def _mass_pairs(spark, d, tolerance, whole=False):
     e = table(spark, d, "events").withColumn("k", F.get_json_object("props", "$.k").cast("long"))
     q = e.filter("event_id % 50 = 0").select(F.col("event_id").alias("query_id"), F.col("value").alias("q_mz"))
-    lib = e.filter("event_id % 50 <> 0").select(F.col("event_id").alias("spectrum_id"), F.col("value").alias("mz"), "k")
+    lib = (e if whole else e.filter("event_id % 50 <> 0")).select(F.col("event_id").alias("spectrum_id"), F.col("value").alias("mz"), "k")
     return J.band_join(q, lib, "q_mz", "mz", tolerance)
 
 
@@ -44,6 +44,34 @@ def two_tier_match(spark, d):
     return J.first_tier(near, "query_id")
 
 
+def _whole(name, apart=False):
+    """The SQL of a query above with all rows on the searched side; ``apart``: a query does not match itself."""
+    return ORACLES[name].replace(" AND l.event_id % 50 <> 0", " AND q.event_id <> l.event_id" if apart else "")
+
+
+@query(_whole("band_join"))
+def band_join_whole(spark, d):
+    return _mass_pairs(spark, d, 0.25, whole=True)
+
+
+@query(_whole("best_in_mass_window", apart=True))
+def best_in_mass_window_whole(spark, d):
+    pairs = _mass_pairs(spark, d, 0.25, whole=True).filter("query_id <> spectrum_id")
+    return E.best_in_mass_window(pairs, "k").select("query_id", "spectrum_id", "k")
+
+
+@query(_whole("ppm_match"))
+def ppm_match_whole(spark, d):
+    low, high = J.ppm_window(F.col("q_mz"), 200)
+    return _mass_pairs(spark, d, 0.5, whole=True).filter(F.col("mz").between(low, high)).select("query_id", "spectrum_id")
+
+
+@query(_whole("two_tier_match", apart=True))
+def two_tier_match_whole(spark, d):
+    near = [_mass_pairs(spark, d, t, whole=True).filter("query_id <> spectrum_id").select("query_id", "spectrum_id") for t in (0.005, 0.2)]
+    return J.first_tier(near, "query_id")
+
+
 @query("SELECT o_orderkey, o_custkey, CASE WHEN c_nationkey IS NULL THEN 'anti' ELSE 'semi' END AS part FROM orders LEFT JOIN (SELECT c_custkey, c_nationkey FROM customer WHERE c_nationkey < 5) ON o_custkey = c_custkey")
 def semi_anti_split(spark, d):
     keys = table(spark, d, "customer").filter("c_nationkey < 5").select(F.col("c_custkey").alias("o_custkey"))

@@ -27,3 +27,17 @@ def test_search_reaches_beyond_thirty(spark):
     found = QUERIES["analog_search_whole"](spark, str(DATA)).select("query_spectrum_nr", "compound_name").collect()
     ranks = [list(order[r[0] - 1]).index(int(r[1].split()[1])) for r in found]
     assert max(ranks) >= 30
+
+
+def test_every_row_is_searched(spark):
+    """Pairs with rows whose id is divisible by 50, the query itself too where self-matches stay."""
+    e = spark.read.parquet(f"{DATA}/events.parquet").select("event_id", "value").toPandas()
+    ids, mz = e["event_id"].to_numpy(), e["value"].to_numpy()
+    q = ids % 50 == 0
+    near = np.abs(mz[q][:, None] - mz[None, :]) <= 0.25
+    expected = {(ids[q][i], ids[j]) for i, j in zip(*np.nonzero(near), strict=True)}
+    got = [tuple(r) for r in QUERIES["band_join_whole"](spark, str(DATA)).select("query_id", "spectrum_id").collect()]
+    assert len(got) == len(expected) and set(got) == expected
+    assert all((i, i) in expected for i in ids[q])
+    best = QUERIES["best_in_mass_window_whole"](spark, str(DATA)).collect()
+    assert {r["query_id"] for r in best} == {a for a, b in expected if a != b} and all(r["query_id"] != r["spectrum_id"] for r in best)
