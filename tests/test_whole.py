@@ -41,3 +41,14 @@ def test_every_row_is_searched(spark):
     assert all((i, i) in expected for i in ids[q])
     best = QUERIES["best_in_mass_window_whole"](spark, str(DATA)).collect()
     assert {r["query_id"] for r in best} == {a for a, b in expected if a != b} and all(r["query_id"] != r["spectrum_id"] for r in best)
+
+
+def test_rank_of_truth_beyond_thirty(spark, tmp_path):
+    """The only other spectrum of the query's structure is at rank 41; a structure without another has 2001."""
+    angle = [0.01 * i for i in range(51)]
+    rows = [(i, [float(np.cos(a)), float(np.sin(a))] * 32, 0 if i in (0, 40) else i) for i, a in enumerate(angle)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label long").write.parquet(f"{tmp_path}/embeddings.parquet")
+    spark.createDataFrame([(i, 100.0) for i in range(51)], "event_id long, value double").write.parquet(f"{tmp_path}/events.parquet")
+    got = {r["query_id"]: r["position"] for r in QUERIES["rank_of_truth_position_whole"](spark, str(tmp_path)).collect()}
+    assert got == {0: 41, 50: 2001}
+    assert {r["query_id"]: r["position"] for r in QUERIES["rank_of_truth_position"](spark, str(tmp_path)).collect()}[0] == 2001
