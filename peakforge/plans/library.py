@@ -7,7 +7,7 @@ from ..operators import annotation as A
 from ..operators import library as L
 from ..sources.sinks import write_mgf
 from ..sources.text_formats import read_mgf
-from .registry import LIBRARY, library, long, query, scratch, spectra, table
+from .registry import LIBRARY, ORACLES, library, long, query, scratch, spectra, table
 
 
 @query("SELECT o_custkey AS structure, string_agg(o_orderkey::VARCHAR, ',' ORDER BY o_orderkey) AS ids FROM orders GROUP BY o_custkey")
@@ -71,6 +71,12 @@ def tanimoto_sets(spark, d):
     return L.tanimoto_pairs(table(spark, d, "lineitem").select((F.col("l_orderkey") % 25).alias("key"), (F.col("l_partkey") % 997).alias("item")), "key", "item")
 
 
+@query(ORACLES["tanimoto_sets"].replace("l_orderkey % 25 AS s, l_partkey % 997 AS b", "l_suppkey AS s, l_partkey AS b"))
+def tanimoto_sets_whole(spark, d):
+    """Every supplier against every other by the set of its parts, neither of them folded."""
+    return L.tanimoto_pairs(table(spark, d, "lineitem").select(F.col("l_suppkey").alias("key"), F.col("l_partkey").alias("item")), "key", "item")
+
+
 @query(
     f"""WITH {LIBRARY}, i AS (SELECT st, string_agg(spectrum_id::VARCHAR, ',' ORDER BY spectrum_id) AS ids FROM emb GROUP BY st), n AS (SELECT st, string_agg(nb, ',' ORDER BY r) AS neighbours, max(t) FILTER (WHERE r = 2) AS second FROM near GROUP BY st)
  SELECT i.st AS inchikey14, ids, neighbours, second, r_name AS cf_kingdom, n_name AS npc_class_results FROM i JOIN n ON n.st = i.st JOIN nation ON n_nationkey::VARCHAR = i.st JOIN region ON r_regionkey = n_regionkey"""

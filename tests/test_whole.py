@@ -52,3 +52,15 @@ def test_rank_of_truth_beyond_thirty(spark, tmp_path):
     got = {r["query_id"]: r["position"] for r in QUERIES["rank_of_truth_position_whole"](spark, str(tmp_path)).collect()}
     assert got == {0: 41, 50: 2001}
     assert {r["query_id"]: r["position"] for r in QUERIES["rank_of_truth_position"](spark, str(tmp_path)).collect()}[0] == 2001
+
+
+def test_sets_of_all_keys_and_items(spark, tmp_path):
+    """Keys and items that a fold of either kind would put together: 1 and 26, 5 and 1002."""
+    lines = [(1, 5), (1, 7), (1, 7), (26, 1002), (26, 7), (2, 9), (27, 1002)]
+    spark.createDataFrame(lines, "l_suppkey long, l_partkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
+    sets = {}
+    for k, i in lines:
+        sets.setdefault(k, set()).add(i)
+    expected = {(a, b): len(x & y) / len(x | y) for a, x in sets.items() for b, y in sets.items() if x & y}
+    got = {(r["key_1"], r["key_2"]): r["tanimoto"] for r in QUERIES["tanimoto_sets_whole"](spark, str(tmp_path)).collect()}
+    assert got == expected
