@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from ..operators import splits as T
-from .registry import query, table
+from .registry import ORACLES, query, table
 
 
 def _orders(spark, d):
@@ -50,6 +50,13 @@ def random_baseline(spark, d):
     return T.random_pick(table(spark, d, "orders").select(F.col("o_orderkey").alias("query_id")), 1000)
 
 
+@query(ORACLES["random_baseline"].replace("% 1000 AS", "% (SELECT count(*) FROM orders) AS"))
+def random_baseline_whole(spark, d):
+    """Picks among as many positions as there are spectra."""
+    orders = table(spark, d, "orders").select(F.col("o_orderkey").alias("query_id"))
+    return T.random_pick(orders, orders.count())
+
+
 @query(
     f"""WITH {_KEYS}, c AS (SELECT o_custkey, rank, count(*) AS m, arg_min(o_orderkey, (md5(o_orderkey || '|42'), o_orderkey)) AS first FROM orders JOIN k USING (o_custkey) GROUP BY o_custkey, rank),
  w AS (SELECT o_custkey, first, row_number() OVER (ORDER BY rank) AS pos FROM c WHERE rank > 100 AND m > 1)

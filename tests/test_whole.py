@@ -64,3 +64,14 @@ def test_sets_of_all_keys_and_items(spark, tmp_path):
     expected = {(a, b): len(x & y) / len(x | y) for a, x in sets.items() for b, y in sets.items() if x & y}
     got = {(r["key_1"], r["key_2"]): r["tanimoto"] for r in QUERIES["tanimoto_sets_whole"](spark, str(tmp_path)).collect()}
     assert got == expected
+
+
+def test_small_registrations(spark):
+    """All vector dimensions, odd query ids too, positions beyond the first thousand."""
+    assert QUERIES["document_embedding_whole"](spark, str(DATA)).select("dim").distinct().count() == 64
+    e = spark.read.parquet(f"{DATA}/events.parquet").select("event_id", "value").toPandas()
+    score = e["value"][e["event_id"] % 7 != 0] / 500.0
+    got = {r["threshold"]: r["n"] for r in QUERIES["mean_above_threshold_whole"](spark, str(DATA)).collect()}
+    assert got == {t: int((score > t).sum()) for t in (0.2, 0.4, 0.6)}
+    picked = QUERIES["random_baseline_whole"](spark, str(DATA)).agg({"spectrum_id": "max"}).collect()[0][0]
+    assert 1000 <= picked < spark.read.parquet(f"{DATA}/orders.parquet").count()
