@@ -1,13 +1,13 @@
 """Language identification by bit-sliced Bloom filters over character n-grams.
 
-A filter has ``slots`` rows; row s holds one bit per language. An n-gram's ``probes`` rows, joined by AND, are the
+A filter has ``slots`` rows; row s holds one bit per language, in as many words as the languages need. An n-gram's ``probes`` rows, joined by AND, are the
 set of all languages whose training texts contain it (with the chance of false positives that a language's fill
 allows). A language contains an n-gram if enough of its training texts do, also against other languages, so that
 foreign passages teach it nothing. A text's n-grams give one count per language, and the share (count / n-grams) is corrected for the expected
 false positives: (share - fp) / (1 - fp). The language with the largest corrected share wins.
 
-Fitting reads a sample of about ``max_docs`` labelled texts for each of at most ``max_langs`` languages (chosen by a hash of
-the row, so it stays of that size on any corpus) and keeps ``max_grams`` n-grams per language, those in most texts.
+Fitting reads a sample of about ``max_docs`` labelled texts for each language (chosen by a hash of the row, so it grows with
+the languages only) and keeps ``max_grams`` n-grams per language, those in most texts.
 """
 
 from __future__ import annotations
@@ -15,7 +15,6 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -26,6 +25,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 UND = "und"
+WORD = 64  # languages whose bits one word of a slot holds
 _BREAKS = re.compile(r"[\W\d_]+")
 _PIECE = 1 << 20  # characters that are hashed at once
 
@@ -34,7 +34,6 @@ _PIECE = 1 << 20  # characters that are hashed at once
 class BloomConfig:
     sizes: tuple[int, ...] = (3, 5)
     max_docs: int = 1500
-    max_langs: int = 64
     max_grams: int = 100_000
     min_docs: int = 2  # training texts of a language that must contain an n-gram, if it has more than 20 texts
     min_ratio: float = 0.2  # least rate of an n-gram in a language's texts, against the language with the highest rate
@@ -46,25 +45,29 @@ class BloomConfig:
 class LanguageFilter:
     config: BloomConfig
     langs: list[str]
-    rows: np.ndarray  # slots, of unsigned integers with a bit per language
+    rows: list[np.ndarray]  # words; each of slots, of unsigned integers with a bit per language, 64 at most
     fp: np.ndarray  # false-positive rate per language
 
     @classmethod
     def build(cls, config: BloomConfig, grams: dict[str, np.ndarray]) -> LanguageFilter:
         langs = sorted(grams)
-        bits = next(b for b in (8, 16, 32, 64) if len(langs) <= b)
-        rows = np.zeros(1 << config.slots_log2, dtype=f"u{bits // 8}")
-        for i, lang in enumerate(langs):
-            for at in _slots(grams[lang], config):
-                rows[at] |= rows.dtype.type(1 << i)
-        fill = np.array([np.count_nonzero(rows >> rows.dtype.type(i) & rows.dtype.type(1)) / len(rows) for i in range(len(langs))])
-        return cls(config, langs, rows, fill**config.probes)
-
-    def lookup(self, grams: np.ndarray) -> np.ndarray:
-        """Language sets of hashed n-grams, as bit masks."""
-        out = None
+        words = []
+        for start in range(0, max(len(langs), 1), WORD):
+            part = langs[start : start + WORD]
+            bits = next(b for b in (8, 16, 32, WORD) if len(part) <= b)
+            rows = np.zeros(1 << config.slots_log2, dtype=f"u{bits // 8}")
+            for i, lang in enumerate(part):
+                for at in _slots(grams[lang], config):
+                    rows[at] |= rows.dtype.type(1 << i)
+            words.append(rows)
+        fill = np.array([np.count_nonzero(_bit(words[i // WORD], i % WORD)) / (1 << config.slots_log2) for i in range(len(langs))])
+        return cls(config, langs, words, fill**config.probes)
+
+    def lookup(self, grams: np.ndarray, word: int = 0) -> np.ndarray:
+        """Language sets of hashed n-grams, as bit masks: of the first WORD languages, or of the next ones."""
+        out, rows = None, self.rows[word]
         for at in _slots(grams, self.config):
-            out = self.rows[at] if out is None else out & self.rows[at]
+            out = rows[at] if out is None else out & rows[at]
         return out
 
     def shares(self, hits: np.ndarray, total: np.ndarray) -> np.ndarray:
@@ -73,6 +76,10 @@ class LanguageFilter:
         return np.clip((raw - self.fp) / (1 - self.fp), 0, 1)
 
 
+def _bit(rows: np.ndarray, i: int) -> np.ndarray:
+    return rows >> rows.dtype.type(i) & rows.dtype.type(1)
+
+
 def _slots(grams: np.ndarray, config: BloomConfig) -> Iterator[np.ndarray]:
     mask = np.uint64((1 << config.slots_log2) - 1)
     for k in range(config.probes):
@@ -136,10 +143,11 @@ def _count_texts(texts: list[str | None], model: LanguageFilter) -> tuple[np.nda
         own = owner[: len(g)]
         whole = (own == owner[n - 1 :]) & inside_words(codes, n)
         g, own = g[whole], own[whole]
-        found = model.lookup(g)
         total.__iadd__(np.bincount(own, minlength=len(texts)))
         for i in range(L):
-            hits[:, i] += np.bincount(own[(found >> found.dtype.type(i) & found.dtype.type(1)) != 0], minlength=len(texts))
+            if i % WORD == 0:
+                found = model.lookup(g, i // WORD)
+            hits[:, i] += np.bincount(own[_bit(found, i % WORD) != 0], minlength=len(texts))
 
     def flush(part: list[tuple[int, str]]) -> None:
         if part:
@@ -168,15 +176,21 @@ def _count_texts(texts: list[str | None], model: LanguageFilter) -> tuple[np.nda
     return hits, total, letters
 
 
+def _by_lang(values: dict[str, int], lang: str, kind: str, default: int) -> Column:
+    """The value of a row's language; a map, as nested conditions would grow deep with many languages."""
+    if not values:
+        return F.lit(default).cast(kind)
+    table = F.create_map(*[c for k, v in values.items() for c in (F.lit(k), F.lit(v).cast(kind))])
+    return F.coalesce(F.try_element_at(table, F.col(lang)), F.lit(default).cast(kind))
+
+
 def fit_languages(docs: DataFrame, text: str = "text", lang: str = "lang", config: BloomConfig | None = None) -> LanguageFilter:
     """Fit on rows whose text and language are not null. Rows without letters add nothing."""
     config = config or BloomConfig()
     rows = docs.filter(F.col(text).isNotNull() & F.col(lang).isNotNull())
-    counts = rows.groupBy(F.col(lang).alias("lang")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(config.max_langs).collect()
+    counts = rows.groupBy(F.col(lang).alias("lang")).agg(F.count(F.lit(1)).alias("n")).collect()  # a row per language
     spread = 1 << 40
-    part = F.lit(0)
-    for r in counts:
-        part = F.when(F.col(lang) == r["lang"], F.lit(min(spread, spread * config.max_docs // r["n"]))).otherwise(part)
+    part = _by_lang({r["lang"]: min(spread, spread * config.max_docs // r["n"]) for r in counts}, lang, "long", 0)
     sample = rows.filter(F.pmod(F.xxhash64(text, lang), F.lit(spread)) < part).select(F.col(text).alias("text"), F.col(lang).alias("lang"))
     sizes, longest = config.sizes, max(config.sizes)
 
@@ -199,11 +213,11 @@ def fit_languages(docs: DataFrame, text: str = "text", lang: str = "lang", confi
     tables = sample.mapInArrow(grams, "lang string, gram long, docs long").groupBy("lang", "gram").agg(F.sum("docs").alias("docs"))
     many = {r["lang"] for r in counts if r["n"] > 20}
     kept = tables.filter((F.col("docs") >= config.min_docs) | ~F.col("lang").isin(*many)) if many else tables
-    drawn = reduce(lambda a, r: F.when(F.col("lang") == r["lang"], F.lit(float(min(r["n"], config.max_docs)))).otherwise(a), counts, F.lit(1.0))
+    drawn = _by_lang({r["lang"]: min(r["n"], config.max_docs) for r in counts}, "lang", "double", 1)
     kept = kept.withColumn("rate", F.col("docs") / drawn).withColumn("top", F.max("rate").over(Window.partitionBy("gram"))).filter(F.col("rate") >= F.col("top") * config.min_ratio)
     by = Window.partitionBy("lang").orderBy(F.desc("docs"), "gram")  # of a bounded sample
     kept = kept.withColumn("at", F.row_number().over(by)).filter(F.col("at") <= config.max_grams).select("lang", "gram")
-    found = kept.toPandas()  # at most max_langs times max_grams rows
+    found = kept.toPandas()  # at most max_grams rows per language
     learned = {name: g["gram"].to_numpy(np.int64).view(np.uint64) for name, g in found.groupby("lang")}
     return LanguageFilter.build(config, learned)
 
@@ -214,7 +228,7 @@ def predict_languages(docs: DataFrame, model: LanguageFilter, text: str = "text"
     The score is the winner's corrected share. Ties go to the language that sorts first; a text without a known
     n-gram gets that language too, with score 0.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # a few MB, by slots_log2
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # 16 MB at most for every WORD languages, by slots_log2
 
     @F.pandas_udf(T.StructType([T.StructField("lang", T.StringType()), T.StructField("score", T.DoubleType())]))
     def predict(texts: pd.Series) -> pd.DataFrame:

@@ -210,3 +210,15 @@ def test_mixing_edges(spark):
     assert M.mix_sources(spark.createDataFrame([], schema)).count() == 0
     out = M.mix_sources(spark.createDataFrame([(1, None, "a"), (2, "", None), (None, "x y", "b"), (None, "x y", "b")], schema)).collect()
     assert {r.taken for r in out if r.size == 0} == {0} and {r.source_size for r in out if r.source == "b"} == {4}
+
+
+def test_more_languages_than_a_word_has_bits(spark):
+    """150 invented languages of their own letters each; none is left out, also those of fewest texts."""
+    letters = [chr(0x4E00 + i) for i in range(150 * 6)]
+    word = lambda k, j: "".join(letters[6 * k + (j * 7 + m * (j % 5 + 1)) % 6] for m in range(4))
+    rows = [(f"l{k:03}", " ".join(word(k, j) for j in range(i, i + 12))) for k in range(150) for i in range(3 if k < 70 else 2)]
+    df = spark.createDataFrame(rows, "lang string, text string")
+    model = G.fit_languages(df)
+    assert len(model.langs) == 150 and len(model.rows) == 3
+    wrong = G.predict_languages(df, model).filter("language.lang <> lang").count()
+    assert wrong == 0
