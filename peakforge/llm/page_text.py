@@ -189,17 +189,18 @@ def _parsed(pages: pd.Series) -> pd.DataFrame:
 
 
 def _pair(a: tuple, b: tuple) -> None:
-    """Note in both rows (host, path, content, hashes, shared set) which lines they share."""
+    """Note in both rows (host, path, content, hashes, shared list) which lines they share."""
     if a[0] != b[0] or a[2] and b[2]:
         return
     for i, j in common_lines(a[3], b[3]):
-        a[4].add(i)
-        b[4].add(j)
+        a[4].append(i)
+        b[4].append(j)
 
 
 def shared_lines(light: DataFrame) -> DataFrame:
     """``light``: host, path, content, hashes. Returns (host, path, hashes, shared): the 0-based places of lines that a
-    page shares with the next or previous page of its host, for pages that are not all content and have such lines."""
+    page shares with the next or previous page of its host, twice if with both, for pages that are not all content and have
+    such lines."""
     schema = "host string, path string, content boolean, hashes array<long>, shared array<int>, edge int, part int"
 
     def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -216,7 +217,7 @@ def shared_lines(light: DataFrame) -> DataFrame:
         for batch in batches:
             out = []
             for r in batch.to_pylist():
-                row = (r["host"], r["path"], r["content"], r["hashes"], set())
+                row = (r["host"], r["path"], r["content"], r["hashes"], [])
                 if last is not None:
                     _pair(last, row)
                     if first or last[4] and not last[2]:
@@ -235,20 +236,24 @@ def shared_lines(light: DataFrame) -> DataFrame:
     more = []
     for a, b in zip(edges, edges[1:], strict=False):
         if a["part"] != b["part"]:
-            rows = [(x["host"], x["path"], x["content"], x["hashes"], set()) for x in (a, b)]
+            rows = [(x["host"], x["path"], x["content"], x["hashes"], []) for x in (a, b)]
             _pair(*rows)
             more += [(*x[:2], x[3], sorted(x[4])) for x in rows if x[4] and not x[2]]
     out = found.filter("size(shared) > 0 and not content").select("host", "path", "hashes", "shared")
     if more:
         extra = found.sparkSession.createDataFrame(more, "host string, path string, hashes array<long>, shared array<int>")
         out = out.unionByName(extra)
-    return out.groupBy("host", "path", "hashes").agg(F.array_distinct(F.flatten(F.collect_list("shared"))).alias("shared"))  # two rows a page at most
+    return out.groupBy("host", "path", "hashes").agg(F.flatten(F.collect_list("shared")).alias("shared"))  # two rows a page at most
 
 
 #: Shared lines of up to this many pages are broadcast; more are joined by a shuffle.
 BROADCAST_PAGES = 20_000
 
 
+#: A line of more words is taken for boilerplate only if both neighbours share it: one may be a near copy of the page.
+LONG_LINE = 15
+
+
 def extract_text(pages: DataFrame, url: str = "url", html: str = "html", column: str = "text") -> DataFrame:
     """Add ``column`` with each page's main text, its lines joined by one space; empty if there is none.
 
@@ -267,6 +272,7 @@ def extract_text(pages: DataFrame, url: str = "url", html: str = "html", column:
         keyed = shared.select(*[F.col(c).alias(f"__n{c}") for c in shared.columns])
         on = (F.col("__host") == F.col("__nhost")) & (F.col("__path") == F.col("__npath")) & (F.col("__hashes") == F.col("__nhashes"))
         parsed = parsed.join(F.broadcast(keyed) if n <= BROADCAST_PAGES else keyed, on, "left")
-        left = F.filter(lines, lambda x, i: ~F.array_contains(F.col("__nshared"), i))
-        lines = F.when(F.col("__nshared").isNull() | F.col("__p.content") | (F.size("__nshared") == F.size(lines)), lines).otherwise(left)
+        need = lambda x: F.when(F.size(F.split(x, " ")) > LONG_LINE, 2).otherwise(1)
+        left = F.filter(lines, lambda x, i: F.size(F.filter("__nshared", lambda j: j == i)) < need(x))
+        lines = F.when(F.col("__nshared").isNull() | F.col("__p.content") | (F.size(left) == 0), lines).otherwise(left)
     return parsed.select(*[F.col(f"`{c}`") for c in keep], F.array_join(lines, " ").alias(column))

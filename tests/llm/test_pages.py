@@ -75,6 +75,17 @@ def test_neighbours_over_range_ends(spark):
     assert all(r.text == f"page {r.page_id}" for r in out)
 
 
+def test_long_lines_stay_beside_one_near_copy(spark):
+    """A near copy on one side does not take the content; boilerplate that both sides share goes, if it is long too."""
+    long = " ".join(f"word{i}" for i in range(30))
+    foot = " ".join(f"foot{i}" for i in range(30))
+    page = lambda text: f"<p>Menu</p><p>{text}</p><p>{foot}</p>"
+    bodies = ["first", f"{long}</p><p>old", f"{long}</p><p>new", "last"]
+    rows = [(i, f"http://a.x/{i}", page(b), None, None) for i, b in enumerate(bodies)]
+    out = {r.page_id: r.text for r in P.extract_text(spark.createDataFrame(rows, ROWS)).collect()}
+    assert out[1] == f"{long} old" and out[2] == f"{long} new"
+
+
 def test_no_pages(spark):
     empty = spark.createDataFrame([], ROWS)
     assert P.extract_text(empty).count() == 0
