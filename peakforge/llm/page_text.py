@@ -1,19 +1,22 @@
-"""Main text of web pages: structure rules, then differencing against the nearest URLs of the same host.
+"""Main text of web pages: differencing against the nearest URLs of the same host, then markup rules.
 
-``parse_page`` turns html into text lines (one per block element) and drops what the markup itself names as menu, header,
-footer, sidebar, notice, advert, form or reader comment. Pages are then ordered by host and URL path; each is aligned
-with its neighbours by the longest common subsequence of line hashes, and shared lines are deleted. Lines inside an
-``article`` or ``main`` element stay even if a neighbour has them: there a shared line is a copy of content.
+``parse_page`` turns html into text lines, one per block element, each with its zone: content (in an ``article`` or
+``main`` element, in a paragraph or loose), neutral, or a part that the markup names as menu, header, footer, sidebar, notice, advert, form or reader
+comment. Pages are ordered by host and URL path; the lines of whole pages, named parts too, are aligned with those of
+both neighbours by the longest common subsequence, and shared lines are deleted (``removed_lines`` has the rules). What
+then is left in named parts goes by the markup: a menu that no neighbour shares.
 
-Pairing shuffles line hashes only. The order is dealt by range, so a large host spreads over tasks; rows at a range's
-ends are paired from two records per range.
+Pairing shuffles 64-bit line hashes and marks only.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html as htmllib
 import re
+import zlib
 from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
 
 import pandas as pd
 import pyarrow as pa
@@ -21,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize
+from .common import fresh, materialize
 from .url_filter import url_host, url_path
 
 _TOKEN = re.compile(
@@ -66,29 +69,43 @@ def _part_of(name: str, attributes: str) -> str | None:
     return found
 
 
-def parse_page(page: str | None) -> tuple[list[str], bool]:
-    """(lines, whether they are from an article or main element). Null and empty pages have no lines."""
-    lines: dict[str, list[str]] = {"article": [], "main": [], "body": []}
+#: Zones of a line: a paragraph, heading or the like inside an article or main element; outside of them; in a part that the
+#: markup names as no content; text inside an article or main element that stands in no paragraph.
+CONTENT, NEUTRAL, PART, LOOSE = 0, 1, 2, 3
+PARAGRAPHS = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd td th blockquote pre figcaption caption".split())
+
+
+def parse_page(page: str | None) -> list[tuple[int, str]]:
+    """(zone, text) of every line of the whole page; only scripts, styles, comments and the like are left out.
+
+    Null and empty pages have no lines.
+    """
+    lines: list[tuple[int, str]] = []
     part: list[str] = []
     inside = {"article": 0, "main": 0}
-    drop, depth, kind = None, 0, None  # the dropped element that is open, how deep in elements of its name, why
-    at, page = 0, page or ""
+    drop, depth, kind = None, 0, None  # the open element that is no content, how deep in elements of its name, why
+    at, page, paragraph = 0, page or "", False
 
     def flush() -> None:
         if part:
             text = " ".join(htmllib.unescape("".join(part)).split())
             part.clear()
             if text:
-                lines["article" if inside["article"] else "main" if inside["main"] else "body"].append(text)
+                zone = NEUTRAL if not inside["article"] and not inside["main"] else CONTENT if paragraph else LOOSE
+                lines.append((zone if drop is None else PART, text))
 
     for m in _TOKEN.finditer(page):
-        if drop is None and m.start() > at:
+        if m.start() > at:
             part.append(page[at : m.start()])
         at = m.end()
         name = (m[3] or m[6] or "").lower()
         if not name:
             continue
         closing, attributes = m[2] or m[5], m[4] or m[7] or ""
+        if name in BLOCKS or drop is not None and name == drop:
+            flush()
+            if name not in ("br", "hr"):
+                paragraph = not closing and name in PARAGRAPHS
         if drop is not None:
             if drop in OPEN_ENDED and name in BLOCKS and name != "br" and (not closing or name != drop) and depth <= 1 and (drop == "p" or closing or name == drop):
                 drop = None
@@ -101,8 +118,6 @@ def parse_page(page: str | None) -> tuple[list[str], bool]:
                 drop = None
             if drop is not None:
                 continue
-        if name in BLOCKS:
-            flush()
         if closing:
             if name in inside and inside[name]:
                 inside[name] -= 1
@@ -115,13 +130,9 @@ def parse_page(page: str | None) -> tuple[list[str], bool]:
                 continue
         if name in inside:
             inside[name] += 1
-    if drop is None:
-        part.append(page[at:])
+    part.append(page[at:])
     flush()
-    for source in ("article", "main"):
-        if lines[source]:
-            return lines[source], True
-    return lines["body"], False
+    return lines
 
 
 def _prefix_lengths(a: Sequence, b: Sequence) -> list[int]:
@@ -183,96 +194,171 @@ def _aligned(a: list, b: list) -> list[tuple[int, int]]:
     return out[::-1]
 
 
-@F.pandas_udf(T.StructType([T.StructField("lines", T.ArrayType(T.StringType())), T.StructField("content", T.BooleanType())]))
-def _parsed(pages: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([parse_page(p) for p in pages], columns=["lines", "content"])
-
-
-def _pair(a: tuple, b: tuple) -> None:
-    """Note in both rows (host, path, content, hashes, shared list) which lines they share."""
-    if a[0] != b[0] or a[2] and b[2]:
-        return
-    for i, j in common_lines(a[3], b[3]):
-        a[4].append(i)
-        b[4].append(j)
-
-
-def shared_lines(light: DataFrame) -> DataFrame:
-    """``light``: host, path, content, hashes. Returns (host, path, hashes, shared): the 0-based places of lines that a
-    page shares with the next or previous page of its host, twice if with both, for pages that are not all content and have
-    such lines."""
-    schema = "host string, path string, content boolean, hashes array<long>, shared array<int>, edge int, part int"
-
-    def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        part = TaskContext.get().partitionId()
-
-        def made(rows: list[tuple]) -> pa.RecordBatch:
-            cols = list(zip(*rows, strict=True))
-            types = [pa.string(), pa.string(), pa.bool_(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.int32(), pa.int32()]
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], ["host", "path", "content", "hashes", "shared", "edge", "part"])
-
-        last, first = None, True
-        for batch in batches:
-            out = []
-            for r in batch.to_pylist():
-                row = (r["host"], r["path"], r["content"], r["hashes"], [])
-                if last is not None:
-                    _pair(last, row)
-                    if first or last[4] and not last[2]:
-                        out.append((*last[:4], sorted(last[4]), 0 if first else None, part))
-                        first = False
-                last = row
-            if out:
-                yield made(out)
-        if last is not None:
-            yield made([(*last[:4], sorted(last[4]), 0 if first else 1, part)])
-
-    ordered = light.distinct().repartitionByRange("host", "path", "hashes").sortWithinPartitions("host", "path", "hashes")
-    found = materialize(ordered.mapInArrow(pair, schema), "shared-lines")
-    # Two records per range of the order: the last page of one range is the neighbour of the first page of the next.
-    edges = sorted(found.filter("edge is not null").collect(), key=lambda r: (r["part"], r["edge"]))
-    more = []
-    for a, b in zip(edges, edges[1:], strict=False):
-        if a["part"] != b["part"]:
-            rows = [(x["host"], x["path"], x["content"], x["hashes"], []) for x in (a, b)]
-            _pair(*rows)
-            more += [(*x[:2], x[3], sorted(x[4])) for x in rows if x[4] and not x[2]]
-    out = found.filter("size(shared) > 0 and not content").select("host", "path", "hashes", "shared")
-    if more:
-        extra = found.sparkSession.createDataFrame(more, "host string, path string, hashes array<long>, shared array<int>")
-        out = out.unionByName(extra)
-    return out.groupBy("host", "path", "hashes").agg(F.flatten(F.collect_list("shared")).alias("shared"))  # two rows a page at most
-
-
-#: Shared lines of up to this many pages are broadcast; more are joined by a shuffle.
-BROADCAST_PAGES = 20_000
-
-
-#: A line of more words is taken for boilerplate only if both neighbours share it: one may be a near copy of the page.
+#: A line of more words is taken for boilerplate only if both neighbours share it, and inside article or main never.
 LONG_LINE = 15
 
 
+def _shared(a: Sequence, b: Sequence) -> tuple[list[int], list[int]]:
+    pairs = common_lines(a, b)
+    return [i for i, _ in pairs], [j for _, j in pairs]
+
+
+def removed_lines(marks: Sequence[int], before: Sequence[int] | None, after: Sequence[int] | None) -> list[int]:
+    """Which lines go, given each line's mark (4 * words + zone) and the lines shared with the page before and after.
+
+    A neighbour that shares more than half of the words in a page's long content lines is a copy of the page (content
+    lines are those inside article or main, or NEUTRAL ones where there are none). What only copies share proves nothing.
+
+    * Outside article and main a short line goes if a neighbour shares it, a long one if both do, one of them no copy.
+    * Inside, a short line that is LOOSE goes if two neighbours that are no copies share it. Paragraphs and headings
+      stay: one that neighbours share is a passage that several articles quote.
+    * If nothing but named parts would be left, all other lines stay.
+    """
+    zones, words = [m & 3 for m in marks], [m >> 2 for m in marks]
+    main = (CONTENT, LOOSE) if CONTENT in zones or LOOSE in zones else (NEUTRAL,)
+    long = [w if z in main and w > LONG_LINE else 0 for z, w in zip(zones, words, strict=True)]
+    near = [set(s) for s in (before, after) if s is not None]
+    proof = [s for s in near if not 2 * sum(long[i] for i in s) > sum(long)]
+    both = near[0] & near[1] if len(near) == 2 else set()
+    gone = {i for i in set().union(*proof) if zones[i] in (NEUTRAL, PART) and (words[i] <= LONG_LINE or i in both)}
+    if len(proof) == 2:
+        gone |= {i for i in both if zones[i] == LOOSE and words[i] <= LONG_LINE}
+    if all(i in gone for i, z in enumerate(zones) if z != PART):
+        gone = {i for i in gone if zones[i] == PART}
+    return sorted(gone)
+
+
+@F.pandas_udf(T.StructType([T.StructField("hashes", T.ArrayType(T.LongType())), T.StructField("marks", T.ArrayType(T.IntegerType()))]))
+def _outline(pages: pd.Series) -> pd.DataFrame:
+    rows = [parse_page(p) for p in pages]
+    hashes = [[int.from_bytes(hashlib.blake2b(t.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True) for _, t in r] for r in rows]
+    return pd.DataFrame({"hashes": hashes, "marks": [[4 * (t.count(" ") + 1) + z for z, t in r] for r in rows]})
+
+
+@F.pandas_udf(T.BinaryType())
+def _packed(pages: pd.Series) -> pd.Series:
+    """The lines outside named parts, each after its place, compressed, so that a shuffle carries less than the html."""
+    return pd.Series([zlib.compress("\n".join(f"{i} {t}" for i, (z, t) in enumerate(parse_page(p)) if z != PART).encode("utf-8", "surrogatepass"), 3) for p in pages], dtype=object)
+
+
+@F.pandas_udf(T.StringType())
+def _unpacked(packed: pd.Series, removed: pd.Series) -> pd.Series:
+    out = []
+    for p, r in zip(packed, removed, strict=True):
+        gone = set() if r is None else set(map(int, r))
+        lines = [x.partition(" ") for x in zlib.decompress(p).decode("utf-8", "surrogatepass").split("\n")]
+        out.append(" ".join(t for i, _, t in lines if t and int(i) not in gone))
+    return pd.Series(out, dtype=object)
+
+
+_EDGES = "host string, path string, page long, hashes array<long>, marks array<int>, before array<int>, after array<int>, edge int, part int, removed array<int>"
+_TYPES = [pa.string(), pa.string(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.int32(), pa.int32(), pa.list_(pa.int32())]
+_NAMES = [x.split()[0] for x in _EDGES.split(", ")]
+
+
+@dataclass
+class _Page:
+    """A page of the order, with the lines that it shares with the page before and after it (None: no page, or not known)."""
+
+    host: str
+    path: str
+    page: int
+    hashes: list[int]
+    marks: list[int]
+    before: list[int] | None = None
+    after: list[int] | None = None
+    edge: int | None = None  # 1: the first of its range, 2: the last, 3: both
+
+    def meet(self, other: _Page) -> None:
+        if self.host == other.host:
+            self.after, other.before = _shared(self.hashes, other.hashes)
+
+    def row(self, part: int) -> tuple:
+        if self.edge:
+            return (self.host, self.path, self.page, self.hashes, self.marks, self.before, self.after, self.edge, part, None)
+        return (self.host, self.path, self.page, None, None, None, None, None, part, removed_lines(self.marks, self.before, self.after))
+
+
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _TYPES, strict=True)], _NAMES)
+
+
+def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pair each page of a sorted range with the next. The pages at the range's ends are passed on with their outlines."""
+    from pyspark import TaskContext
+
+    part, last = TaskContext.get().partitionId(), None
+    for batch in batches:
+        rows = []
+        for r in batch.to_pylist():
+            page = _Page(**r)
+            if last is None:
+                page.edge = 1
+            else:
+                last.meet(page)
+                rows.append(last.row(part))
+            last = page
+        if rows:
+            yield _batch(rows)
+    if last is not None:
+        last.edge = 3 if last.edge else 2
+        yield _batch([last.row(part)])
+
+
+def _join_ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The ends of all ranges in order: the last page of one is the neighbour of the first page of the next."""
+    last = None
+    for batch in batches:
+        rows = []
+        for r in batch.to_pylist():
+            page = _Page(**{k: r[k] for k in ("host", "path", "page", "hashes", "marks", "before", "after", "edge")})
+            if last is not None:
+                if last.edge & 2:  # else both are in the same range, where they may have other pages between them
+                    last.meet(page)
+                last.edge = None
+                rows.append(last.row(0))
+            last = page
+        if rows:
+            yield _batch(rows)
+    if last is not None:
+        last.edge = None
+        yield _batch([last.row(0)])
+
+
+def differences(outlines: DataFrame) -> DataFrame:
+    """``outlines``: host, path, page, hashes, marks, once for each page. Returns (host, path, page, removed).
+
+    Pages are dealt by range of (host, path, page), so that a large host spreads over tasks. Two outlines for each range
+    go to one task that pairs the ends.
+    """
+    keys = ["host", "path", "page"]
+    ordered = outlines.repartitionByRange(*keys).sortWithinPartitions(*keys)
+    found = materialize(ordered.select(*keys, "hashes", "marks").mapInArrow(_walk, _EDGES), "differences")
+    ends = found.filter("edge is not null").repartition(1).sortWithinPartitions("part", "edge").mapInArrow(_join_ends, _EDGES)
+    inner = found.filter("edge is null")
+    return inner.unionByName(ends).filter("size(removed) > 0").select(*keys, "removed")
+
+
 def extract_text(pages: DataFrame, url: str = "url", html: str = "html", column: str = "text") -> DataFrame:
     """Add ``column`` with each page's main text, its lines joined by one space; empty if there is none.
 
-    Null html is empty, and a null url has empty host and path. Equal pages at one path count once when neighbours are
-    paired, and a page of which nothing would be left keeps its lines. A column of that name is replaced.
+    Null and empty html gives an empty text, and a null url has empty host and path. Equal pages at one path count once
+    when neighbours are paired and get equal texts. A column of that name is replaced, others stay whatever their
+    names. An empty table gives an empty result.
+
+    A page is parsed twice, once for its outline and once for its lines: storing the lines of all pages for the time
+    between would cost more than the second parse. The lines travel compressed, once, to the join with the differences.
     """
     rest = [c for c in pages.columns if c.lower() != column.lower() or c in (url, html)]
     keep = [c for c in rest if c != html] if column == html else rest
-    parsed = pages.select(*[F.col(f"`{c}`") for c in keep], url_host(F.col(url)).alias("__host"), url_path(F.col(url)).alias("__path"), _parsed(F.col(html)).alias("__p"))
-    parsed = parsed.withColumn("__hashes", F.transform("__p.lines", lambda x: F.xxhash64(x)))
-    light = parsed.select(F.col("__host").alias("host"), F.col("__path").alias("path"), F.col("__p.content").alias("content"), F.col("__hashes").alias("hashes"))
-    shared = materialize(shared_lines(light), "shared")
-    n = shared.count()
-    lines = F.col("__p.lines")
-    if n:
-        keyed = shared.select(*[F.col(c).alias(f"__n{c}") for c in shared.columns])
-        on = (F.col("__host") == F.col("__nhost")) & (F.col("__path") == F.col("__npath")) & (F.col("__hashes") == F.col("__nhashes"))
-        parsed = parsed.join(F.broadcast(keyed) if n <= BROADCAST_PAGES else keyed, on, "left")
-        need = lambda x: F.when(F.size(F.split(x, " ")) > LONG_LINE, 2).otherwise(1)
-        left = F.filter(lines, lambda x, i: F.size(F.filter("__nshared", lambda j: j == i)) < need(x))
-        lines = F.when(F.col("__nshared").isNull() | F.col("__p.content") | (F.size(left) == 0), lines).otherwise(left)
-    return parsed.select(*[F.col(f"`{c}`") for c in keep], F.array_join(lines, " ").alias(column))
+    h, p, n, k = (fresh(pages, x) for x in ("host", "path", "page", "packed"))
+    at = [url_host(F.col(f"`{url}`")), url_path(F.col(f"`{url}`")), F.xxhash64(F.col(f"`{html}`"))]
+    some = F.coalesce(F.length(F.col(f"`{html}`")) > 0, F.lit(False))
+    outlines = pages.filter(some).select(*[c.alias(x) for c, x in zip(at, ("host", "path", "page"), strict=True)], _outline(F.col(f"`{html}`")).alias("o"))
+    outlines = outlines.select("host", "path", "page", "o.hashes", "o.marks").filter("size(hashes) > 0").dropDuplicates(["host", "path", "page"])
+    gone = materialize(differences(outlines), "removed").toDF(f"{h}_", f"{p}_", f"{n}_", f"{k}_")
+    full = pages.filter(some).select(*[F.col(f"`{c}`") for c in keep], *[c.alias(x) for c, x in zip(at, (h, p, n), strict=True)], _packed(F.col(f"`{html}`")).alias(k))
+    on = (F.col(h) == F.col(f"{h}_")) & (F.col(p) == F.col(f"{p}_")) & (F.col(n) == F.col(f"{n}_"))
+    full = full.join(gone.hint("shuffle_merge"), on, "left")
+    out = full.select(*[F.col(f"`{c}`") for c in keep], _unpacked(F.col(k), F.col(f"{k}_")).alias(column))
+    return out.unionByName(pages.filter(~some).select(*[F.col(f"`{c}`") for c in keep], F.lit("").alias(column)))

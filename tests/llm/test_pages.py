@@ -4,6 +4,9 @@ import pytest
 
 from peakforge.llm import page_text as P
 from peakforge.llm import warc as W
+from peakforge.llm.queries import op2_page_differencing
+
+from ..compare import DATA
 
 ROWS = "page_id long, url string, html string, text string, host string"
 
@@ -12,17 +15,27 @@ def test_markup():
     page = """<html><head><title>t</title><style>p{}</style><script>var x="</p>";</script></head><body><header>top</header><nav><a>menu</a></nav>
     <div class="ad">buy</div><article><header><h1>Title &amp; more</h1></header><p>one <b>bo</b>ld<br>two&nbsp;&#x41;<p class="ad">advert<p>three<aside>side</aside>
     <form>f<input></form><div class="comments"><article>reader</article></div><!-- <p>no</p> --></article><div id="sidebar">s</div><footer>foot</footer></body></html>"""
-    lines, content = P.parse_page(page)
-    assert lines == ["Title & more", "one bold", "two A", "three"] and content
+    assert kept(page) == ["Title & more", "one bold", "two A", "three"]
+    parts = [t for z, t in P.parse_page(page) if z == P.PART]
+    assert parts == ["top", "menu", "buy", "advert", "side", "f", "reader", "s", "foot"]
+
+
+def kept(page):
+    return [t for z, t in P.parse_page(page) if z != P.PART]
+
+
+def test_zones():
+    page = "<main><h1>Title</h1><article>teaser</article><p>bo<br>dy</p>loose</main><div>beside</div><nav>menu</nav>"
+    assert P.parse_page(page) == [(P.CONTENT, "Title"), (P.LOOSE, "teaser"), (P.CONTENT, "bo"), (P.CONTENT, "dy"), (P.LOOSE, "loose"), (P.NEUTRAL, "beside"), (P.PART, "menu")]
 
 
 @pytest.mark.parametrize("page", [None, "", "<", "<p", "<script>x", "<!-- x", "<p title='>'>", "</p></p>", "<nav><p>x"])
 def test_broken_markup_has_no_text(page):
-    assert " ".join(P.parse_page(page)[0]) in ("", "<", "<p")
+    assert " ".join(kept(page)) in ("", "<", "<p")
 
 
 def test_content_words_keep_a_part():
-    assert P.parse_page('<div class="content-sidebar"><p>x</p></div><div class="sidebar-left">y</div><div class="post-comments">z</div><div hidden>h</div>')[0] == ["x"]
+    assert kept('<div class="content-sidebar"><p>x</p></div><div class="sidebar-left">y</div><div class="post-comments">z</div><div hidden>h</div>') == ["x"]
 
 
 def lcs(a, b):
@@ -86,6 +99,90 @@ def test_long_lines_stay_beside_one_near_copy(spark):
     assert out[1] == f"{long} old" and out[2] == f"{long} new"
 
 
+def test_boilerplate_inside_main_goes(spark):
+    """Markup names no part here: neighbours alone decide, also inside the content element, but for its paragraphs."""
+    page = "<main><div class='topbar'>Home About</div><p>Body {0} text</p><p>Aside</p><p>More {0}</p><div class='sitefoot'>Imprint</div></main><div>Call us</div>"
+    rows = [(i, f"http://a.x/{i}", page.format(f"w{i}"), None, None) for i in range(5)] + [(9, "http://b.x/9", page.format("w9"), None, None)]
+    out = {r.page_id: r.text for r in P.extract_text(spark.createDataFrame(rows, ROWS)).collect()}
+    whole = "Home About Body {0} text Aside More {0} Imprint"
+    assert [out[i] for i in (1, 2, 3)] == [f"Body w{i} text Aside More w{i}" for i in (1, 2, 3)]  # a paragraph
+    assert [out[i] for i in (0, 4)] == [whole.format(f"w{i}") for i in (0, 4)]  # one neighbour
+    assert out[9] == whole.format("w9") + " Call us"
+
+
+def brute_text(rows):
+    """page_id -> text, with every page's neighbours looked up in one sorted list."""
+    from urllib.parse import urlsplit
+
+    def place(url):
+        m = urlsplit(url or "")
+        return (m.netloc.lower(), m.path) if "://" in (url or "") else ("", "")
+
+    nodes = sorted({(*place(u), h or "") for _, u, h in rows if P.parse_page(h)}, key=lambda n: (n[:2], order_key(n[2])))
+    lines = {n: P.parse_page(n[2]) for n in nodes}
+    text = {}
+    for i, n in enumerate(nodes):
+        shared = []
+        for j in (i - 1, i + 1):
+            other = nodes[j] if 0 <= j < len(nodes) and nodes[j][0] == n[0] else None
+            a, b = [t for _, t in lines[n]], [t for _, t in lines[other]] if other else []
+            shared.append(None if other is None else [x for x, _ in P.common_lines(a, b)] if j > i else [y for _, y in P.common_lines(b, a)])
+        gone = P.removed_lines([4 * len(t.split(" ")) + z for z, t in lines[n]], *shared)
+        text[n] = " ".join(t for k, (z, t) in enumerate(lines[n]) if z != P.PART and k not in gone)
+    return {i: text.get((*place(u), h or ""), "") for i, u, h in rows}
+
+
+def order_key(html):
+    return HASHES[html]
+
+
+HASHES = {}
+
+
+@pytest.mark.skipif(not DATA.exists(), reason="no test data")
+def test_whole_query_against_brute_force(spark):
+    pages = spark.read.parquet(f"{DATA}/pages.parquet").select("page_id", "url", "html")
+    HASHES.update({r[0] or "": r[1] for r in pages.selectExpr("html", "xxhash64(html)").collect()})
+    rows = [tuple(r) for r in pages.collect()]
+    got = {r.page_id: (r.text, r.n_chars) for r in op2_page_differencing(spark, str(DATA)).collect()}
+    assert got == {i: (t, len(t)) for i, t in brute_text(rows).items()}
+
+
+@pytest.mark.skipif(not DATA.exists(), reason="no test data")
+def test_planted_boilerplate(spark):
+    """Unmarked menus, notices and footers of each host, beside the articles and in them: what goes, and what must stay."""
+    from pyspark.sql import functions as F
+
+    from peakforge.llm.url_filter import url_host
+
+    pages = spark.read.parquet(f"{DATA}/pages.parquet").select("page_id", "url", "html")
+    plain = {r.page_id: r.text for r in P.extract_text(pages).collect()}
+    top = F.concat(F.lit("<div class='x1'><div>Start "), url_host(F.col("url")), F.lit("</div><div>All topics of ours</div></div>"))
+    end = F.concat(F.lit("<div class='x2'>We use small files to remember you</div><div>Seen on "), url_host(F.col("url")), F.lit("</div>"))
+    planted = pages.withColumn("html", F.regexp_replace(F.regexp_replace("html", "<article>", "PLANT_TOP<article>"), "</article>", "</article>PLANT_END"))
+    planted = planted.withColumn("html", F.replace(F.replace("html", F.lit("PLANT_TOP"), top), F.lit("PLANT_END"), end))
+    hosts = {r.h: r.n for r in pages.select(url_host(F.col("url")).alias("h"), "page_id").groupBy("h").agg(F.count("*").alias("n")).collect()}
+    out = P.extract_text(planted.withColumn("h", url_host(F.col("url")))).filter(F.col("h").isin([h for h, n in hosts.items() if n > 1])).collect()
+    assert len(out) > 20
+    assert sum(r.text == plain[r.page_id] for r in out) >= 0.9 * len(out)
+    assert all(set(plain[r.page_id].split()) <= set(r.text.split()) for r in out)  # nothing of the article goes
+
+
+def test_clashing_names(spark):
+    names = ["page_id", "url", "html", "text", "host", "path", "page", "__host", "__path", "__page", "__packed", "hashes", "removed"]
+    rows = [tuple([i, f"http://a.x/{i}", f"<p>Menu</p><p>page {i}</p>", *[f"{i}{n}" for n in names[3:]]]) for i in range(3)]
+    out = P.extract_text(spark.createDataFrame(rows, names))
+    assert sorted(out.columns) == sorted(names)
+    for r in out.collect():
+        assert r.text == f"page {r.page_id}" and all(r[n] == f"{r.page_id}{n}" for n in names[4:])
+
+
+def test_very_long_page(spark):
+    rows = [(i, f"http://a.x/{i}", "<p>Menu</p>" + "".join(f"<p>line {i} {j}</p>" for j in range(30000)), None, None) for i in range(2)]
+    out = {r.page_id: r.text for r in P.extract_text(spark.createDataFrame(rows, ROWS)).collect()}
+    assert all(t == " ".join(f"line {i} {j}" for j in range(30000)) for i, t in out.items())
+
+
 def test_no_pages(spark):
     empty = spark.createDataFrame([], ROWS)
     assert P.extract_text(empty).count() == 0
