@@ -1,22 +1,24 @@
-"""Licence scan: a positional index of each template's rarest words, intersected by relative position.
+"""Licence scan: a positional index of licence words, looked up by each file's rarest ones.
 
 A text becomes its word sequence (A-Z lower-cased, words of digits, a-z and non-ASCII characters). Document
-frequencies of all template words are counted over the whole corpus. The index of a template holds its ``anchors``
-words of highest IDF with their positions. A file is looked up by the licence words it has; where it has all
-anchors of a template, the postings' start positions (file position minus template position) are intersected,
-and the template is reported if its mandatory key phrases stand in the file too. All work is row-local
-DataFrame functions: no shuffle, apart from the corpus count, which leaves one row per template word.
+frequencies of all template words are counted over the whole corpus. The index posts every word to its positions in the
+templates. A file is looked up by the licence words that it has, highest IDF first: for each template of which it has
+enough words, the ``ANCHORS`` rarest of them tell starts (position in the file less position in the template), and
+where enough of them agree, give or take a few words, the place is verified: the template's words must stand there for the
+most part, and its mandatory key phrases too. So no single word must have stayed unchanged, apart from the key phrases.
+All work is row-local DataFrame functions: no shuffle, but for the corpus count, which leaves one row per template word.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let
+from .common import fresh, let
 
 #: Base phrases of the op4 contract.
 BASE_PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
@@ -34,28 +36,58 @@ class Template:
         return [w for w in re.split(NON_WORD, self.text.lower()) if w]
 
 
-#: Characteristic sentences of public licences and of the notices that refer to them.
+#: The whole texts of short public licences, the standard notices of long ones, and usual one-line mentions;
+#: with each the phrases without which it is not that licence.
 TEMPLATES = (
-    Template("apache-2.0", "Licensed under the Apache License, Version 2.0", ("apache license version 2 0",)),
-    Template("apache-2.0", "You may obtain a copy of the License at http www apache org licenses LICENSE-2.0", ("apache org licenses license 2 0",)),
+    Template("mit", """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
+The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.""", ("hereby granted free of charge",)),
+    Template("bsd-2-clause", """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.""", ("source and binary forms",)),
+    Template("bsd-3-clause", """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.
+3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED.""", ("source and binary forms", "endorse or promote products")),
+    Template("isc", """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.""", ("with or without fee",)),
+    Template("zlib", """This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.
+Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:
+1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required.
+2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software.
+3. This notice may not be removed or altered from any source distribution.""", ("redistribute it freely",)),
+    Template("bsl-1.0", """Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the "Software") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following:
+The copyright notices in the Software and this entire statement, including the above license grant, this restriction and the following disclaimer, must be included in all copies of the Software, in whole or in part, and all derivative works of the Software, unless such copies or derivative works are solely in the form of machine-executable object code generated by a source language processor.""", ("person or organization obtaining",)),
+    Template("unlicense", """This is free and unencumbered software released into the public domain.
+Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.
+In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain.""", ("unencumbered software",)),
+    Template("apache-2.0", """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0
+Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.""", ("apache license version 2",)),
+    Template("gpl", """This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.
+This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.""", ("gnu general public license",)),
+    Template("lgpl", """This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.
+This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Lesser General Public License for more details.""", ("gnu lesser general public license",)),
+    Template("agpl", """This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.
+This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Affero General Public License for more details.""", ("gnu affero general public license",)),
+    Template("mpl-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.", ("mozilla public license",)),
+    Template("epl-2.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/", ("eclipse public license",)),
+    Template("cc0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work.", ("waived all copyright",)),
+    Template("cc-by", "This work is licensed under a Creative Commons Attribution 4.0 International License.", ("creative commons attribution",)),
+    Template("cc-by-sa", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.", ("commons attribution sharealike",)),
+    Template("cc-by-nc", "Licensed under CC BY-NC 4.0", ("cc by nc",)),
     Template("mit", "Released under the MIT License", ("mit license",)),
-    Template("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files", ("free of charge", "this software")),
-    Template("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted", ("source and binary forms",)),
-    Template("bsd", "Licensed under the BSD 3-Clause License", ("bsd 3 clause",)),
-    Template("isc", "Permission to use, copy, modify, and or distribute this software for any purpose with or without fee is hereby granted", ("without fee",)),
-    Template("gpl", "This program is free software: you can redistribute it and or modify it under the terms of the GNU General Public License", ("gnu general public license",)),
-    Template("lgpl", "under the terms of the GNU Lesser General Public License", ("gnu lesser general public license",)),
-    Template("agpl", "under the terms of the GNU Affero General Public License", ("gnu affero general public license",)),
-    Template("mpl-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0", ("mozilla public license",)),
-    Template("epl", "made available under the terms of the Eclipse Public License", ("eclipse public license",)),
-    Template("unlicense", "This is free and unencumbered software released into the public domain", ("public domain",)),
-    Template("cc0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights", ("waived all copyright",)),
-    Template("cc-by", "This work is licensed under a Creative Commons Attribution License", ("creative commons attribution",)),
-    Template("cc-by-sa", "This work is licensed under a Creative Commons Attribution ShareAlike License", ("attribution sharealike",)),
+    Template("apache-2.0", "Licensed under the Apache License, Version 2.0", ("apache license",)),
+    Template("gpl", "This work is licensed under the GNU General Public License, version 3", ("gnu general public license",)),
+    Template("bsd-3-clause", "Licensed under the BSD 3-Clause License", ("bsd 3 clause",)),
     Template("spdx", "SPDX-License-Identifier", ("spdx license identifier",)),
-    Template("zlib", "This software is provided as-is, without any express or implied warranty. In no event will the authors be held liable", ("express or implied warranty",)),
 )
 
+#: Share of a template's different words that a file, and the place of a match, must have; words that are looked up by
+#: position, and the share of them that must agree on a start.
+LEAST, ANCHORS, AGREE = 0.7, 8, 0.6
+
 
 def normalised(text: Column) -> Column:
     """``^ w0 w1 ... wn `` : a sentinel and the words, each between single spaces; null counts as empty."""
@@ -72,74 +104,83 @@ def has_phrase(norm: Column, phrase: str) -> Column:
 
 
 def idf_table(docs: DataFrame, text: str = "text", templates=TEMPLATES) -> dict[str, int]:
-    """Number of documents of the whole corpus that have each template word (0 where none has)."""
+    """Number of documents of the whole corpus that have each template word; words that none has are not in it."""
     vocabulary = sorted({w for t in templates for w in t.words})
-    words = F.split(normalised(F.col(text)), " ")
-    found = docs.select(F.explode(F.array_intersect(F.array(*[F.lit(w) for w in vocabulary]), words)).alias("w"))
-    counts = {r["w"]: r["n"] for r in found.groupBy("w").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row per template word
-    return {w: counts.get(w, 0) for w in vocabulary}
+    words = F.split(normalised(F.col(f"`{text}`")), " ")
+    found = docs.select(F.explode(F.array_intersect(_words(vocabulary), words)).alias("w"))
+    return {r["w"]: r["n"] for r in found.groupBy("w").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row per template word
 
 
-@dataclass(frozen=True)
-class Indexed:
-    template: Template
-    anchors: tuple[tuple[str, int], ...]  # rarest words and their positions in the template
+def _words(words) -> Column:
+    return F.array(*[F.lit(w) for w in words]) if words else F.array().cast("array<string>")
+
+
+def by_rarity(counts: dict[str, int]) -> list[str]:
+    """Template words of the corpus, highest IDF first; ties by word."""
+    return sorted(counts, key=lambda w: (counts[w], w))
+
 
+def least_words(t: Template) -> int:
+    """How many of its different words must be there."""
+    return math.ceil(round(LEAST * len(set(t.words)), 9))
 
-def build_index(df_counts: dict[str, int], templates=TEMPLATES, anchors: int = 3) -> list[Indexed]:
-    """The ``anchors`` rarest distinct words of each template; ties by word. A word counts at its first position."""
-    out = []
-    for t in templates:
-        rare = sorted(set(t.words), key=lambda w: (df_counts.get(w, 0), w))[:anchors]
-        out.append(Indexed(t, tuple((w, t.words.index(w)) for w in rare)))
-    return out
 
+def tolerance(t: Template) -> int:
+    """By how many words the starts that a template's anchors tell may differ."""
+    return 2 + len(t.words) // 10
 
-def _starts(hits: Column, ix: Indexed) -> Column:
-    """Starts in the file at which every anchor of the template stands at its relative position."""
 
-    def of(w: str, at: int) -> Column:
-        return F.transform(F.filter(hits, lambda x: x["w"] == w), lambda x: x["p"] - at)
+def _match(words: Column, own: Column, t: Template) -> Column:
+    """The first place at which the template stands, as struct(label, start, share), else null.
 
-    starts = of(*ix.anchors[0])
-    for w, at in ix.anchors[1:]:
-        starts = F.array_intersect(starts, of(w, at))
-    return F.filter(starts, lambda x: x >= 0)
+    ``words``: the file's, a sentinel first; ``own``: the template's words that the file has, highest IDF first.
+    """
+    wide, size = tolerance(t), len(t.words)
+
+    def starts(anchors: Column) -> Column:
+        """Starts on which enough anchors agree: their postings' relative positions, sorted, a run of them close together."""
+        places = lambda a: F.filter(F.transform(words, lambda w, i: F.when(w == a, i - 1)), lambda i: i.isNotNull())
+        posted = lambda a: F.filter(F.transform(_words(t.words), lambda w, i: F.when(w == a, i)), lambda i: i.isNotNull())
+        told = lambda a: let(posted(a), lambda ps: F.flatten(F.transform(places(a), lambda f: F.transform(ps, lambda p: F.struct((f - p).alias("d"), a.alias("w"))))))
+        need = F.greatest(F.least(F.lit(2), F.size(anchors)), F.ceil(F.size(anchors) * F.lit(AGREE))).cast("int")
+        votes = F.array_sort(F.array_distinct(F.flatten(F.transform(anchors, told))))
 
+        def runs(x: Column) -> Column:  # struct(votes, need)
+            close = F.transform(x["v"], lambda v, i: F.when(F.get(x["v"], i + x["need"] - 1)["d"] - v["d"] <= wide, v["d"]))
+            return F.array_distinct(F.filter(close, lambda d: d.isNotNull()))
 
-def _mandatory(norm: Column, ix: Indexed) -> Column:
-    out = F.lit(True)
-    for phrase in (*(w for w, _ in ix.anchors), *ix.template.keys):
-        out = out & has_phrase(norm, phrase)
-    return out
+        return let(F.struct(votes.alias("v"), need.alias("need")), runs)
 
+    def verified(d: Column) -> Column:
+        first = F.greatest(d - wide, F.lit(0))
 
-def _report(words: Column, ix: Indexed):
-    """A function of the starts: the match at the first of them, null if there is none. ``words`` has a sentinel first."""
-    own = ix.template.words
+        def at(window: Column) -> Column:
+            run = F.concat(F.lit(" "), F.array_join(window, " "), F.lit(" "))
+            share = F.size(F.array_intersect(_words(sorted(set(t.words))), window)) / F.lit(len(set(t.words)))
+            ok = F.size(F.array_intersect(_words(sorted(set(t.words))), window)) >= least_words(t)
+            for phrase in t.keys:
+                ok = ok & F.contains(run, F.lit(f" {phrase} "))
+            found = F.struct(F.lit(t.label).alias("label"), F.greatest(d, F.lit(0)).cast("long").alias("start"), share.alias("share"))
+            return F.when(ok, found)
 
-    def of(starts: Column) -> Column:
-        start = F.element_at(starts, 1)
-        here = F.slice(words, start + 2, len(own))
-        same = F.filter(F.zip_with(here, F.array(*[F.lit(w) for w in own]), lambda a, b: a == b), lambda x: x)
-        match = F.struct(F.lit(ix.template.label).alias("label"), start.cast("long").alias("start"), (F.size(same) / F.lit(len(own))).alias("share"))
-        return F.when(F.size(starts) > 0, match)
+        return let(F.slice(words, first + 2, d + size + wide - first), at)
 
-    return of
+    found = let(F.slice(own, 1, ANCHORS), lambda anchors: F.filter(F.transform(starts(anchors), verified), lambda m: m.isNotNull()))
+    return F.get(found, F.lit(0))
 
 
-def scan_licences(docs: DataFrame, text: str = "text", templates=TEMPLATES, anchors: int = 3) -> DataFrame:
+def scan_licences(docs: DataFrame, text: str = "text", templates=TEMPLATES) -> DataFrame:
     """Add n_words, n_base, first_word, last_word, base_labels, labels, score and matches; such columns are replaced.
 
-    ``matches``: array of struct(label, start, share), the share being that of the template's words found at their
-    places from ``start``. ``score`` is the largest share (1 for a base phrase, 0 without any label). Null and empty
-    texts have no words, no labels and null first_word and last_word. Rows are judged one by one, so repeated rows
-    get equal results, and an empty table gives an empty result.
+    ``matches``: array of struct(label, start, share), one for each template that stands in the text: the first place at
+    which it does, and the share of its different words that stand there. ``score`` is the largest share (1 for a base
+    phrase, 0 without any label). Null and empty texts have no words, no labels and null first_word and last_word. Rows
+    are judged one by one, so repeated rows get equal results, and an empty table gives an empty result. Columns of
+    other names stay, whatever they are.
     """
-    index = build_index(idf_table(docs, text, templates), templates, anchors)
+    rare = _words(by_rarity(idf_table(docs, text, templates)))
     mine = ["n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "matches"]
     rest = [c for c in docs.columns if c.lower() not in mine or c == text]
-    vocabulary = sorted({w for ix in index for w, _ in ix.anchors})
     pattern = "(?= (?:" + "|".join(BASE_PHRASES) + ") )"
 
     def base(norm: Column) -> Column:
@@ -156,37 +197,30 @@ def scan_licences(docs: DataFrame, text: str = "text", templates=TEMPLATES, anch
 
         return let(F.split(norm, pattern), of)
 
-    def lookup(norm: Column) -> Column:
-        def by_hits(words: Column) -> Column:
-            positions = F.filter(F.transform(words, lambda w, i: F.when(F.array_contains(F.array(*[F.lit(v) for v in vocabulary]), w), F.struct(w.alias("w"), (i - 1).alias("p")))), lambda x: x.isNotNull())
-
-            def of(hits: Column) -> Column:
-                found = [F.when(_mandatory(norm, ix), let(_starts(hits, ix), _report(words, ix))) for ix in index]
-                return F.filter(F.array(*found), lambda x: x.isNotNull())
-
-            return let(positions, of)
-
-        return let(F.split(norm, " "), by_hits)
-
-    norm = F.col("__norm")
-    candidate = F.lit(False)
-    for ix in index:
-        all_there = F.lit(True)
-        for w, _ in ix.anchors:
-            all_there = all_there & has_phrase(norm, w)
-        candidate = candidate | all_there
-    empty = F.array().cast("array<struct<label:string,start:bigint,share:double>>")
-    out = docs.select(*[F.col(f"`{c}`") for c in rest], normalised(F.col(text)).alias("__norm"))
-    out = out.withColumn("__base", base(norm)).withColumn("matches", F.when(candidate, lookup(norm)).otherwise(empty))
-    by_phrase = F.filter(F.array(*[F.when(has_phrase(norm, p), F.lit(label)) for p, label in BASE_PHRASES.items()]), lambda x: x.isNotNull())
-    out = out.withColumn("__labels", F.when(F.col("__base.n_base") > 0, by_phrase).otherwise(F.array().cast("array<string>")))
-    label_set = F.array_sort(F.array_distinct(F.concat(F.col("__labels"), F.transform("matches", lambda m: m["label"]))))
+    def lookup(words: Column) -> Column:
+        def of(own: Column) -> Column:
+            def place(t: Template) -> Column:
+                return let(F.array_intersect(own, _words(sorted(set(t.words)))), lambda o: F.when(F.size(o) >= least_words(t), _match(words, o, t)))
+
+            return F.filter(F.array(*[place(t) for t in templates]), lambda m: m.isNotNull())
+
+        return let(F.array_intersect(rare, words), of)
+
+    none = F.array().cast("array<struct<label:string,start:bigint,share:double>>")
+    norm, counts, by_phrase = (fresh(docs, x) for x in ("norm", "counts", "phrases"))
+    fewest = min((least_words(t) for t in templates), default=0)
+    out = docs.select(*[F.col(f"`{c}`") for c in rest], normalised(F.col(f"`{text}`")).alias(norm))
+    n = F.col(norm)
+    labels = F.filter(F.array(*[F.when(has_phrase(n, p), F.lit(label)) for p, label in BASE_PHRASES.items()]), lambda x: x.isNotNull())
+    out = out.withColumns({counts: base(n), "matches": F.when(spaces(n) >= fewest, let(F.split(n, " "), lookup)).otherwise(none) if templates else none})
+    out = out.withColumn(by_phrase, F.when(F.col(counts)["n_base"] > 0, labels).otherwise(F.array().cast("array<string>")))
+    label_set = F.array_sort(F.array_distinct(F.concat(F.col(by_phrase), F.transform("matches", lambda m: m["label"]))))
     share = F.coalesce(F.array_max(F.transform("matches", lambda m: m["share"])), F.lit(0.0))
     return out.select(
         *[F.col(f"`{c}`") for c in rest],
-        F.col("__base.n_words").alias("n_words"), F.col("__base.n_base").alias("n_base"), F.col("__base.first_word").alias("first_word"), F.col("__base.last_word").alias("last_word"),
-        F.array_join(F.array_sort(F.array_distinct("__labels")), ",").alias("base_labels"),
+        *[F.col(counts)[c].alias(c) for c in ("n_words", "n_base", "first_word", "last_word")],
+        F.array_join(F.array_sort(F.array_distinct(by_phrase)), ",").alias("base_labels"),
         F.array_join(label_set, ",").alias("labels"),
-        F.when(F.col("__base.n_base") > 0, F.lit(1.0)).otherwise(share).alias("score"),
+        F.when(F.col(counts)["n_base"] > 0, F.lit(1.0)).otherwise(share).alias("score"),
         "matches",
-    )
+    )

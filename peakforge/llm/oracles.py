@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .license_scan import BASE_PHRASES, NON_WORD, TEMPLATES
+from .license_scan import AGREE, ANCHORS, BASE_PHRASES, NON_WORD, TEMPLATES, least_words, tolerance
 from .mixing import SCALE
 from .secret_scan import BASE_RULES, RULES
 from .url_filter import HOST_PATH, MarkovConfig
@@ -16,23 +16,27 @@ def _text(s: str) -> str:
 def licence_sql() -> str:
     words = ", ".join(f"({i}, {p}, {_text(w)})" for i, t in enumerate(TEMPLATES) for p, w in enumerate(t.words))
     keys = ", ".join(f"({i}, {_text(k)})" for i, t in enumerate(TEMPLATES) for k in t.keys)
-    labels = ", ".join(f"({i}, {_text(t.label)}, {len(t.words)})" for i, t in enumerate(TEMPLATES))
+    labels = ", ".join(f"({i}, {_text(t.label)}, {len(t.words)}, {len(set(t.words))}, {least_words(t)}, {tolerance(t)})" for i, t in enumerate(TEMPLATES))
+    parts = [(p.split(), label) for p, label in BASE_PHRASES.items()]
     base = " UNION ALL ".join(
-        f"SELECT doc_id, pos, {_text(label)} AS label FROM w WHERE word = {_text(p.split()[0])} AND n1 = {_text(p.split()[1])}" + (f" AND n2 = {_text(p.split()[2])}" if len(p.split()) > 2 else "")
-        for p, label in BASE_PHRASES.items()
+        f"SELECT doc_id, pos, {_text(label)} AS label FROM w WHERE word = {_text(ws[0])} AND n1 = {_text(ws[1])}" + (f" AND n2 = {_text(ws[2])}" if len(ws) > 2 else "") for ws, label in parts
     )
     return f"""WITH d AS (SELECT doc_id, trim(regexp_replace(lower(coalesce(text, '')), {_text(NON_WORD)}, ' ', 'g')) AS norm FROM documents),
  l AS (SELECT doc_id, norm, CASE WHEN norm = '' THEN [] ELSE string_split(norm, ' ') END AS ws FROM d),
  u AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) - 1 AS pos FROM l),
  w AS (SELECT *, lead(word) OVER (PARTITION BY doc_id ORDER BY pos) AS n1, lead(word, 2) OVER (PARTITION BY doc_id ORDER BY pos) AS n2 FROM u),
  base AS ({base}),
- tw(t, p, word) AS (VALUES {words}), tk(t, phrase) AS (VALUES {keys}), tl(t, label, n) AS (VALUES {labels}),
- df AS (SELECT word, count(DISTINCT doc_id) AS df FROM u WHERE word IN (SELECT word FROM tw) GROUP BY word),
- anchors AS (SELECT t, word, p FROM (SELECT t, word, p, row_number() OVER (PARTITION BY t ORDER BY coalesce(df, 0), word) AS r FROM (SELECT t, word, min(p) AS p FROM tw GROUP BY t, word) LEFT JOIN df USING (word)) WHERE r <= 3),
- need AS (SELECT t, count(*) AS n FROM anchors GROUP BY t),
- starts AS (SELECT doc_id, t, pos - p AS start FROM u JOIN anchors USING (word) WHERE pos >= p GROUP BY doc_id, t, pos - p HAVING count(DISTINCT word) = (SELECT n FROM need WHERE need.t = anchors.t)),
- ok AS (SELECT s.doc_id, s.t, min(s.start) AS start FROM starts s JOIN l USING (doc_id) WHERE NOT EXISTS (SELECT 1 FROM tk WHERE tk.t = s.t AND NOT contains(' ' || l.norm || ' ', ' ' || tk.phrase || ' ')) GROUP BY s.doc_id, s.t),
- shares AS (SELECT ok.doc_id, label, count(u.word)::DOUBLE / n AS share FROM ok JOIN tl USING (t) JOIN tw USING (t) LEFT JOIN u ON u.doc_id = ok.doc_id AND u.pos = ok.start + tw.p AND u.word = tw.word GROUP BY ok.doc_id, ok.t, label, n),
+ tw(t, p, word) AS (VALUES {words}), tk(t, phrase) AS (VALUES {keys}), tl(t, label, n, kinds, least, wide) AS (VALUES {labels}),
+ h AS (SELECT * FROM u WHERE word IN (SELECT word FROM tw)),
+ df AS (SELECT word, count(DISTINCT doc_id) AS df FROM h GROUP BY word),
+ have AS (SELECT doc_id, t, word, row_number() OVER (PARTITION BY doc_id, t ORDER BY df, word) AS r, count(*) OVER (PARTITION BY doc_id, t) AS have FROM (SELECT DISTINCT doc_id, word FROM h) JOIN (SELECT DISTINCT t, word FROM tw) USING (word) JOIN df USING (word)),
+ anchors AS (SELECT doc_id, t, word, greatest(least(2, least(have, {ANCHORS})), (least(have, {ANCHORS}) * {round(AGREE * 10)} + 9) // 10) AS need FROM have JOIN tl USING (t) WHERE have >= least AND r <= {ANCHORS}),
+ votes AS (SELECT doc_id, t, need, d, row_number() OVER (PARTITION BY doc_id, t ORDER BY d, word) AS r FROM (SELECT DISTINCT a.doc_id, a.t, a.need, h.pos - tw.p AS d, a.word FROM anchors a JOIN h ON h.doc_id = a.doc_id AND h.word = a.word JOIN tw ON tw.t = a.t AND tw.word = a.word)),
+ starts AS (SELECT DISTINCT x.doc_id, x.t, x.d FROM votes x JOIN votes y ON y.doc_id = x.doc_id AND y.t = x.t AND y.r = x.r + x.need - 1 JOIN tl ON tl.t = x.t WHERE y.d - x.d <= wide),
+ there AS (SELECT s.doc_id, s.t, s.d, count(DISTINCT h.word) AS found FROM starts s JOIN tl USING (t) JOIN h ON h.doc_id = s.doc_id AND h.pos >= s.d - wide AND h.pos < s.d + n + wide JOIN (SELECT DISTINCT t, word FROM tw) k ON k.t = s.t AND k.word = h.word GROUP BY s.doc_id, s.t, s.d),
+ ok AS (SELECT x.doc_id, x.t, x.d, found FROM there x JOIN tl USING (t) JOIN l ON l.doc_id = x.doc_id WHERE found >= least
+   AND NOT EXISTS (SELECT 1 FROM tk WHERE tk.t = x.t AND NOT contains(' ' || array_to_string(ws[greatest(0, x.d - wide) + 1:x.d + n + wide], ' ') || ' ', ' ' || tk.phrase || ' '))),
+ shares AS (SELECT doc_id, label, arg_min(found, d)::DOUBLE / kinds AS share FROM ok JOIN tl USING (t) GROUP BY doc_id, t, label, kinds),
  b AS (SELECT doc_id, count(*) AS n_base, min(pos) AS first_word, max(pos) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM base GROUP BY doc_id),
  a AS (SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM (SELECT doc_id, label FROM base UNION SELECT doc_id, label FROM shares) GROUP BY doc_id),
  m AS (SELECT doc_id, max(share) AS share FROM shares GROUP BY doc_id)
