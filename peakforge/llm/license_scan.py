@@ -112,7 +112,8 @@ def idf_table(docs: DataFrame, text: str = "text", templates=TEMPLATES) -> dict[
 
 
 def _words(words) -> Column:
-    return F.array(*[F.lit(w) for w in words]) if words else F.array().cast("array<string>")
+    """A literal array of words, which hold no space."""
+    return F.split(F.lit(" ".join(words)), " ") if words else F.array().cast("array<string>")
 
 
 def by_rarity(counts: dict[str, int]) -> list[str]:
@@ -125,45 +126,69 @@ def least_words(t: Template) -> int:
     return math.ceil(round(LEAST * len(set(t.words)), 9))
 
 
+def telling_words(templates, counts: dict[str, int]) -> list[str]:
+    """A file without any of these words has too few words of every template: of each template the rarest ones, one more
+    than may be absent."""
+    out: set[str] = set()
+    for t in templates:
+        kinds = sorted(set(t.words), key=lambda w: (counts.get(w, 0), w))
+        out |= {w for w in kinds[: len(kinds) - least_words(t) + 1] if w in counts}
+    return sorted(out)
+
+
 def tolerance(t: Template) -> int:
     """By how many words the starts that a template's anchors tell may differ."""
     return 2 + len(t.words) // 10
 
 
-def _match(words: Column, own: Column, t: Template) -> Column:
+def _index(templates) -> Column:
+    """The templates as a literal array of structs; a word's postings are its places in ``words``."""
+    return F.array(
+        *[
+            F.struct(
+                F.lit(t.label).alias("label"), _words(t.words).alias("words"), _words(sorted(set(t.words))).alias("kinds"), F.split(F.lit("|".join(t.keys)), "[|]").alias("keys"),
+                F.lit(least_words(t)).alias("least"), F.lit(tolerance(t)).alias("wide"),
+            )
+            for t in templates
+        ]
+    )
+
+
+def _match(words: Column, own: Column, t: Column) -> Column:
     """The first place at which the template stands, as struct(label, start, share), else null.
 
-    ``words``: the file's, a sentinel first; ``own``: the template's words that the file has, highest IDF first.
+    ``words``: the file's, a sentinel first; ``own``: the template's words that the file has, highest IDF first; ``t``: the
+    template's entry in the index.
     """
-    wide, size = tolerance(t), len(t.words)
 
     def starts(anchors: Column) -> Column:
         """Starts on which enough anchors agree: their postings' relative positions, sorted, a run of them close together."""
         places = lambda a: F.filter(F.transform(words, lambda w, i: F.when(w == a, i - 1)), lambda i: i.isNotNull())
-        posted = lambda a: F.filter(F.transform(_words(t.words), lambda w, i: F.when(w == a, i)), lambda i: i.isNotNull())
+        posted = lambda a: F.filter(F.transform(t["words"], lambda w, i: F.when(w == a, i)), lambda i: i.isNotNull())
         told = lambda a: let(posted(a), lambda ps: F.flatten(F.transform(places(a), lambda f: F.transform(ps, lambda p: F.struct((f - p).alias("d"), a.alias("w"))))))
         need = F.greatest(F.least(F.lit(2), F.size(anchors)), F.ceil(F.size(anchors) * F.lit(AGREE))).cast("int")
         votes = F.array_sort(F.array_distinct(F.flatten(F.transform(anchors, told))))
 
-        def runs(x: Column) -> Column:  # struct(votes, need)
-            close = F.transform(x["v"], lambda v, i: F.when(F.get(x["v"], i + x["need"] - 1)["d"] - v["d"] <= wide, v["d"]))
+        def runs(x: Column) -> Column:  # struct(v: votes, need)
+            close = F.transform(x["v"], lambda v, i: F.when(F.get(x["v"], i + x["need"] - 1)["d"] - v["d"] <= t["wide"], v["d"]))
             return F.array_distinct(F.filter(close, lambda d: d.isNotNull()))
 
         return let(F.struct(votes.alias("v"), need.alias("need")), runs)
 
     def verified(d: Column) -> Column:
-        first = F.greatest(d - wide, F.lit(0))
+        first = F.greatest(d - t["wide"], F.lit(0))
 
         def at(window: Column) -> Column:
             run = F.concat(F.lit(" "), F.array_join(window, " "), F.lit(" "))
-            share = F.size(F.array_intersect(_words(sorted(set(t.words))), window)) / F.lit(len(set(t.words)))
-            ok = F.size(F.array_intersect(_words(sorted(set(t.words))), window)) >= least_words(t)
-            for phrase in t.keys:
-                ok = ok & F.contains(run, F.lit(f" {phrase} "))
-            found = F.struct(F.lit(t.label).alias("label"), F.greatest(d, F.lit(0)).cast("long").alias("start"), share.alias("share"))
-            return F.when(ok, found)
 
-        return let(F.slice(words, first + 2, d + size + wide - first), at)
+            def judge(there: Column) -> Column:
+                keys = F.forall(t["keys"], lambda k: F.contains(run, F.concat(F.lit(" "), k, F.lit(" "))))
+                found = F.struct(t["label"].alias("label"), F.greatest(d, F.lit(0)).cast("long").alias("start"), (there / F.size(t["kinds"])).alias("share"))
+                return F.when((there >= t["least"]) & keys, found)
+
+            return let(F.size(F.array_intersect(t["kinds"], window)), judge)
+
+        return let(F.slice(words, first + 2, d + F.size(t["words"]) + t["wide"] - first), at)
 
     found = let(F.slice(own, 1, ANCHORS), lambda anchors: F.filter(F.transform(starts(anchors), verified), lambda m: m.isNotNull()))
     return F.get(found, F.lit(0))
@@ -178,7 +203,9 @@ def scan_licences(docs: DataFrame, text: str = "text", templates=TEMPLATES) -> D
     are judged one by one, so repeated rows get equal results, and an empty table gives an empty result. Columns of
     other names stay, whatever they are.
     """
-    rare = _words(by_rarity(idf_table(docs, text, templates)))
+    counts_of = idf_table(docs, text, templates)
+    rare, telling = _words(by_rarity(counts_of)), _words(telling_words(templates, counts_of))
+    index, none = _index(templates), F.array().cast("array<struct<label:string,start:bigint,share:double>>")
     mine = ["n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "matches"]
     rest = [c for c in docs.columns if c.lower() not in mine or c == text]
     pattern = "(?= (?:" + "|".join(BASE_PHRASES) + ") )"
@@ -199,14 +226,13 @@ def scan_licences(docs: DataFrame, text: str = "text", templates=TEMPLATES) -> D
 
     def lookup(words: Column) -> Column:
         def of(own: Column) -> Column:
-            def place(t: Template) -> Column:
-                return let(F.array_intersect(own, _words(sorted(set(t.words)))), lambda o: F.when(F.size(o) >= least_words(t), _match(words, o, t)))
+            def place(t: Column) -> Column:
+                return let(F.array_intersect(own, t["kinds"]), lambda o: F.when(F.size(o) >= t["least"], _match(words, o, t)))
 
-            return F.filter(F.array(*[place(t) for t in templates]), lambda m: m.isNotNull())
+            return F.when(F.arrays_overlap(own, telling), F.filter(F.transform(index, place), lambda m: m.isNotNull())).otherwise(none)
 
         return let(F.array_intersect(rare, words), of)
 
-    none = F.array().cast("array<struct<label:string,start:bigint,share:double>>")
     norm, counts, by_phrase = (fresh(docs, x) for x in ("norm", "counts", "phrases"))
     fewest = min((least_words(t) for t in templates), default=0)
     out = docs.select(*[F.col(f"`{c}`") for c in rest], normalised(F.col(f"`{text}`")).alias(norm))
