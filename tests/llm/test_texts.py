@@ -12,6 +12,9 @@ from peakforge.llm import license_scan as L
 from peakforge.llm import mixing as M
 from peakforge.llm import secret_scan as S
 from peakforge.llm import transport_stream as TS
+from peakforge.llm.queries import op6_transport_streams
+
+from ..compare import DATA
 
 ROWS = "doc_id long, text string, lang string, source string, n_words string, spans string, size string"
 
@@ -169,6 +172,101 @@ def test_stream_damage_is_counted():
     assert TS.unpack(None).payload == b""
 
 
+def packet(pid, body, counter, start=False, adaptation=None):
+    """A packet of 188 bytes; ``adaptation``: the flags byte, the field filling up the packet."""
+    size = 184 - len(body)
+    field = b"" if adaptation is None and not size else bytes([size - 1]) + (bytes([adaptation or 0]) + b"\xff" * (size - 2) if size > 1 else b"")
+    control = (0x20 if field else 0) | (0x10 if body else 0)
+    return b"\x47" + ((0x4000 if start else 0) | pid).to_bytes(2, "big") + bytes([control | counter & 15]) + field + body
+
+
+def pes(body, flags=b"\x80\x00\x00", size=None):
+    return b"\x00\x00\x01\xbd" + (len(flags) + len(body) if size is None else size).to_bytes(2, "big") + flags + body
+
+
+def section_packets(pid, section, counter=0):
+    return packet(pid, (b"\x00" + section).ljust(184, b"\xff"), counter, True)
+
+
+def tables(programs, streams):
+    """``programs``: (number, PID); ``streams``: number -> [(type, PID)]."""
+    pat = TS._section(0, 1, b"".join(n.to_bytes(2, "big") + (0xE000 | p).to_bytes(2, "big") for n, p in programs))
+    out = section_packets(0, pat)
+    for n, p in programs:
+        if n in streams:
+            out += section_packets(p, TS._section(2, n, b"\xe1\x00\xf0\x00" + b"".join(bytes([k]) + (0xE000 | x).to_bytes(2, "big") + b"\xf0\x00" for k, x in streams[n])))
+    return out
+
+
+def test_streams_of_other_writers():
+    one = tables([(0, 16), (7, 32), (9, 33)], {7: [(2, 64), (6, 65)], 9: [(6, 66)]})
+    media = one + packet(64, pes(b"a"), 0, True) + packet(66, pes(b"c"), 0, True) + packet(65, pes(b"b"), 0, True) + packet(64, pes(b"d", size=0), 1, True)
+    p = TS.unpack(media)
+    assert p.programs == {7: 32, 9: 33} and [(s.program, s.pid, b"".join(s.units)) for s in p.streams] == [(7, 64, b"ad"), (7, 65, b"b"), (9, 66, b"c")]
+    assert (p.payload, p.program, p.pid, p.errors, p.gaps) == (b"ad", 7, 64, 0, 0)
+    stray = b"\x01\x47\x02" + media  # resynchronisation after foreign bytes
+    assert TS.unpack(stray).payload == b"ad" and TS.unpack(stray).errors == 1
+    at = len(one)
+    assert TS.unpack(media[:at] + media[at : at + 188] + media[at:]).gaps == 0  # a legal duplicate
+    assert TS.unpack(media[:at] + media[at : at + 188] * 2 + media[at:]).gaps == 1
+    jump = one + packet(64, pes(b"a"), 0, True) + packet(64, pes(b"d"), 9, True, 0x80)
+    assert (TS.unpack(jump).payload, TS.unpack(jump).gaps) == (b"ad", 0)
+    assert TS.unpack(one + packet(64, pes(b"a"), 0, True) + packet(64, pes(b"d"), 9, True)).gaps == 1
+
+
+def test_sections_over_packets():
+    streams = [(6, 256 + k) for k in range(60)]
+    pmt = TS._section(2, 1, b"\xe1\x00\xf0\x00" + b"".join(bytes([k]) + (0xE000 | x).to_bytes(2, "big") + b"\xf0\x00" for k, x in streams))
+    media = tables([(1, 32)], {}) + packet(32, b"\x00" + pmt[:183], 0, True) + packet(32, pmt[183:].ljust(184, b"\xff"), 1) + packet(315, pes(b"x"), 0, True)
+    p = TS.unpack(media)
+    assert len(p.streams) == 60 and p.errors == 0 and p.streams[59].units == [b"x"]
+
+
+def test_broken_streams_are_read_on():
+    head = tables([(1, 32)], {1: [(6, 64)]})
+    for bad in (
+        packet(0, b"", 0, False, 0), packet(64, pes(b"", b"\x80\x80\x05\x21"), 0, True), packet(64, pes(b"", b"\x80\x80\x05\x21")[:10], 0, True), packet(64, b"\x00\x00\x01", 0, True), packet(64, pes(b"", b"\x80\x00\xff"), 0, True),
+        b"\x47\x00\x40\x30\xff".ljust(188, b"\x00"), packet(0, b"\xff" * 184, 1, True), b"\x47", packet(8191, b"z" * 184, 0), b"\x47\x80\x40\x10".ljust(188, b"\x00"),
+    ):
+        assert TS.unpack(head + bad).payload == b"" and TS.unpack(bad).payload == b""
+        assert TS.unpack(head + bad + packet(64, pes(b"ok"), 1, True)).payload in (b"ok", b"") or bad == b"\x47"
+    empty = TS.unpack(tables([(1, 32)], {1: []}))
+    assert (empty.pid, empty.stream_type, empty.program, empty.errors) == (None, None, 1, 0)
+    rng = random.Random(8)
+    for _ in range(300):
+        media = bytearray(TS.pack(rng.randbytes(9000)))
+        for _ in range(rng.randrange(1, 30)):
+            media[rng.randrange(len(media))] = rng.randrange(256)
+        del media[: rng.randrange(200)]
+        TS.unpack(bytes(media))
+        TS.unpack(rng.randbytes(1000))
+
+
+@pytest.mark.skipif(not DATA.exists(), reason="no test data")
+def test_media_query_against_the_texts(spark):
+    """Every column of the query from the text alone, without a parser."""
+    import hashlib
+    import zlib
+
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()}
+    out = op6_transport_streams(spark, str(DATA)).collect()
+    assert len(out) == len(texts)
+    for r in out:
+        raw = (texts[r.doc_id] or "").encode()
+        full = raw + b"\x00" * (-len(raw) % 64 if raw else 64)
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(full), hashlib.sha256(full).hexdigest(), zlib.crc32(full[-64:]))
+        n = -(-len(full) // 4096)
+        packets = sum(-(-(min(4096, len(full) - 4096 * k) + 14 + (2 if k % 8 == 0 else 0)) // 184) for k in range(n)) + 2 * -(-n // 8)
+        access = ",".join(str(3600 * k) for k in range(0, n, 8))
+        assert r.media_bytes == 188 * packets and r.feature == f"program=1;pid=256;units={n};last_pts={3600 * (n - 1)};access={access};gaps=0;errors=0"
+
+
+def test_very_long_media(spark):
+    texts = ["word " * 2_000_000]
+    row = TS.read_media(TS.store_texts(docs(spark, texts))).first()
+    assert row.stream.payload_bytes == 10_000_000 and row.stream.errors == 0
+
+
 def test_media_column(spark):
     texts = [None, "", "é", "x" * 20000, "é"]
     stored = TS.store_texts(docs(spark, texts))
