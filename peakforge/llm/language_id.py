@@ -1,20 +1,24 @@
 """Language identification by bit-sliced Bloom filters over character n-grams.
 
-A filter has ``slots`` rows; row s holds one bit per language, in as many words as the languages need. An n-gram's ``probes`` rows, joined by AND, are the
-set of all languages whose training texts contain it (with the chance of false positives that a language's fill
-allows). A language contains an n-gram if enough of its training texts do, also against other languages, so that
-foreign passages teach it nothing. A text's n-grams give one count per language, and the share (count / n-grams) is corrected for the expected
-false positives: (share - fp) / (1 - fp). The language with the largest corrected share wins.
+A filter has ``slots`` rows; row s holds one bit per language, in as many words as the languages need. An n-gram's
+``probes`` rows, joined by AND, are the set of all languages whose training texts contain it (with the chance of false
+positives that a language's fill allows). A language contains an n-gram if enough of its training texts do, also against
+other languages, so that foreign passages teach it nothing. A text's n-grams give one count per language, and the share
+(count / n-grams) is corrected for the expected false positives: (share - fp) / (1 - fp). The language with the largest
+corrected share wins.
 
 Fitting reads a sample of about ``max_docs`` labelled texts for each language (chosen by a hash of the row, so it grows with
-the languages only) and keeps ``max_grams`` n-grams per language, those in most texts.
+the languages only) and keeps all their n-grams that pass these conditions.
 """
 
 from __future__ import annotations
 
 import re
+import sys
+import unicodedata
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
+from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -26,7 +30,6 @@ from pyspark.sql.window import Window
 
 UND = "und"
 WORD = 64  # languages whose bits one word of a slot holds
-_BREAKS = re.compile(r"[\W\d_]+")
 _PIECE = 1 << 20  # characters that are hashed at once
 
 
@@ -34,10 +37,9 @@ _PIECE = 1 << 20  # characters that are hashed at once
 class BloomConfig:
     sizes: tuple[int, ...] = (3, 5)
     max_docs: int = 1500
-    max_grams: int = 100_000
     min_docs: int = 2  # training texts of a language that must contain an n-gram, if it has more than 20 texts
     min_ratio: float = 0.2  # least rate of an n-gram in a language's texts, against the language with the highest rate
-    slots_log2: int = 21
+    slots_log2: int = 21  # at least; a filter has four slots or more for every n-gram of its largest language
     probes: int = 3
 
 
@@ -51,6 +53,8 @@ class LanguageFilter:
     @classmethod
     def build(cls, config: BloomConfig, grams: dict[str, np.ndarray]) -> LanguageFilter:
         langs = sorted(grams)
+        most = max(map(len, grams.values()), default=0)
+        config = replace(config, slots_log2=max(config.slots_log2, (4 * most - 1).bit_length() if most else 0))
         words = []
         for start in range(0, max(len(langs), 1), WORD):
             part = langs[start : start + WORD]
@@ -83,7 +87,8 @@ def _bit(rows: np.ndarray, i: int) -> np.ndarray:
 def _slots(grams: np.ndarray, config: BloomConfig) -> Iterator[np.ndarray]:
     mask = np.uint64((1 << config.slots_log2) - 1)
     for k in range(config.probes):
-        yield (grams >> np.uint64(21 * k) & mask).astype(np.intp)
+        bits = grams >> np.uint64(21 * k) if config.slots_log2 <= 21 and k < 3 else _mixed(grams + np.uint64(k))
+        yield (bits & mask).astype(np.intp)
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
@@ -93,15 +98,29 @@ def _mixed(h: np.ndarray) -> np.ndarray:
     return h ^ h >> np.uint64(31)
 
 
+@cache
+def _words() -> re.Pattern:
+    """Runs of letters and combining marks (Unicode categories L and M)."""
+    inside = [unicodedata.category(chr(c))[0] in "LM" for c in range(sys.maxunicode + 1)]
+    ends = np.flatnonzero(np.diff(np.array([False, *inside, False]).astype(np.int8)))
+    return re.compile("[" + "".join(f"\\U{a:08x}-\\U{b - 1:08x}" for a, b in zip(ends[::2], ends[1::2], strict=True)) + "]+")
+
+
 def prepared(text: str) -> str:
-    """The distinct words (runs of letters, lower-cased) between single spaces; empty if there is no letter.
+    """The distinct words (runs of letters and marks that hold a letter, lower-cased) between single spaces; empty if
+    there is no letter.
 
     A word counts once, so that a line repeated a thousand times weighs no more than one.
     """
-    words = dict.fromkeys(_BREAKS.sub(" ", text.lower()).split())
+    words = [w for w in dict.fromkeys(_words().findall(text.lower())) if w[0].isalpha() or any(map(str.isalpha, w))]
     return f" {' '.join(words)} " if words else ""
 
 
+def has_letters(text: Column) -> Column:
+    """Whether a text has a letter; false for null."""
+    return F.coalesce(text.rlike(r"\p{L}"), F.lit(False))
+
+
 def inside_words(codes: np.ndarray, n: int) -> np.ndarray:
     """Which runs of ``n`` code points have no space but at their ends."""
     space = codes == 32
@@ -215,9 +234,7 @@ def fit_languages(docs: DataFrame, text: str = "text", lang: str = "lang", confi
     kept = tables.filter((F.col("docs") >= config.min_docs) | ~F.col("lang").isin(*many)) if many else tables
     drawn = _by_lang({r["lang"]: min(r["n"], config.max_docs) for r in counts}, "lang", "double", 1)
     kept = kept.withColumn("rate", F.col("docs") / drawn).withColumn("top", F.max("rate").over(Window.partitionBy("gram"))).filter(F.col("rate") >= F.col("top") * config.min_ratio)
-    by = Window.partitionBy("lang").orderBy(F.desc("docs"), "gram")  # of a bounded sample
-    kept = kept.withColumn("at", F.row_number().over(by)).filter(F.col("at") <= config.max_grams).select("lang", "gram")
-    found = kept.toPandas()  # at most max_grams rows per language
+    found = kept.select("lang", "gram").toPandas()  # of a sample of max_docs texts a language
     learned = {name: g["gram"].to_numpy(np.int64).view(np.uint64) for name, g in found.groupby("lang")}
     return LanguageFilter.build(config, learned)
 
@@ -226,9 +243,9 @@ def predict_languages(docs: DataFrame, model: LanguageFilter, text: str = "text"
     """Add ``column``: struct(lang, score). ``und`` and score 0 where the text is null or has no letter, or nothing was learned.
 
     The score is the winner's corrected share. Ties go to the language that sorts first; a text without a known
-    n-gram gets that language too, with score 0.
+    n-gram gets that language too, with score 0. A column of that name is replaced; all others stay.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # 16 MB at most for every WORD languages, by slots_log2
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the sample: see slots_log2
 
     @F.pandas_udf(T.StructType([T.StructField("lang", T.StringType()), T.StructField("score", T.DoubleType())]))
     def predict(texts: pd.Series) -> pd.DataFrame:
@@ -243,7 +260,7 @@ def predict_languages(docs: DataFrame, model: LanguageFilter, text: str = "text"
         names[~letters] = UND
         return pd.DataFrame({"lang": names, "score": np.where(letters, share[np.arange(len(values)), best], 0.0)})
 
-    return docs.withColumn(column, predict(F.col(text)))
+    return docs.withColumn(column, predict(F.col(f"`{text}`")))
 
 
 def held_out(doc_id: Column) -> Column:

@@ -12,7 +12,7 @@ from peakforge.llm import license_scan as L
 from peakforge.llm import mixing as M
 from peakforge.llm import secret_scan as S
 from peakforge.llm import transport_stream as TS
-from peakforge.llm.queries import op6_transport_streams
+from peakforge.llm.queries import op6_transport_streams, op7_language_bloom
 
 from ..compare import DATA
 
@@ -296,6 +296,63 @@ def test_languages(spark):
     assert all(0 <= r.language.score <= 1 for r in out.values())
 
 
+def test_letters_by_category(spark):
+    """Numbers and signs that \\w takes are no letters; combining marks belong to their words."""
+    model = G.fit_languages(spark.createDataFrame(language_rows(), "doc_id long, text string, lang string"))
+    texts = ["\u00bd \u00b2 \u2460", "\u0301 \u0301", "_ 12", "\u0939\u093f\u0928\u094d\u0926\u0940", "a\u0301"]
+    df = docs(spark, texts)
+    out = {r.doc_id: r.language.lang == G.UND for r in G.predict_languages(df, model).collect()}
+    assert out == {0: True, 1: True, 2: True, 3: False, 4: False}
+    assert {r.doc_id: not r.ok for r in df.select("doc_id", G.has_letters(F.col("text")).alias("ok")).collect()} == out
+    assert G.prepared(texts[3]) == f" {texts[3]} "
+
+
+def test_filter_grows_with_the_language():
+    import numpy as np
+
+    grams = {"a": np.random.default_rng(0).integers(0, 1 << 62, 3_000_000).astype(np.uint64)}
+    model = G.LanguageFilter.build(G.BloomConfig(), grams)
+    assert model.config.slots_log2 == 24 and model.fp[0] < 0.1 and (model.lookup(grams["a"]) & 1).all()
+
+
+@pytest.mark.skipif(not DATA.exists(), reason="no test data")
+def test_language_query_against_sets(spark):
+    """The query with exact n-gram sets in place of the filters: the same winners, wherever two languages are not close."""
+    import zlib
+
+    rows = [tuple(r) for r in spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text", "lang").collect()]
+    train = [(t, g) for i, t, g in rows if zlib.crc32(str(i).encode()) % 4 != 2 and t is not None and g is not None]
+
+    def grams(text):
+        s = G.prepared(text)
+        return {s[i : i + n] for n in (3, 5) for i in range(len(s) - n + 1) if " " not in s[i + 1 : i + n - 1]}
+
+    seen, size = {}, {}
+    for t, g in train:
+        size[g] = size.get(g, 0) + 1
+        for x in grams(t):
+            seen.setdefault(x, {}).setdefault(g, 0)
+            seen[x][g] += 1
+    known = {g: set() for g in size}
+    for x, by in seen.items():
+        rate = {g: n / size[g] for g, n in by.items()}
+        for g, n in by.items():
+            if (n >= 2 or size[g] <= 20) and rate[g] >= 0.2 * max(rate.values()):
+                known[g].add(x)
+    close = 0
+    for r in op7_language_bloom(spark, str(DATA)).collect():
+        text = next(t for i, t, _ in rows if i == r.doc_id)
+        s = G.prepared(text)
+        own = [s[i : i + n] for n in (3, 5) for i in range(len(s) - n + 1) if " " not in s[i + 1 : i + n - 1]]
+        share = sorted(((sum(x in known[g] for x in own) / max(1, len(own)), g) for g in known), reverse=True)
+        assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2)
+        if share[0][0] - share[1][0] < 0.02:
+            close += 1
+        else:
+            assert r.lang_pred == share[0][1] and abs(r.score - share[0][0]) < 0.02
+    assert close <= 0.02 * len(rows)
+
+
 def test_languages_without_labels(spark):
     df = spark.createDataFrame([(1, "abc")], "doc_id long, text string").withColumn("lang", F.lit(None).cast("string"))
     model = G.fit_languages(df)
