@@ -13,6 +13,7 @@ from __future__ import annotations
 import re
 from bisect import bisect_left
 from dataclasses import dataclass
+from functools import reduce
 from itertools import accumulate
 
 import ahocorasick
@@ -21,6 +22,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import fresh, materialize
+
 RATE = 0.2
 BLOCK_CHARS = 16 << 20
 _WORD = re.compile(r"\w+")
@@ -135,19 +138,38 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", column
     """Add ``column``: array of struct(item_id, distance, n_words, end_word), a row for each test item within its budget.
 
     Case and punctuation don't count. Null and empty texts and items match nothing, and with an empty benchmark all
-    arrays are empty. Whole texts are searched; repeated rows get equal results. Items without item_id are skipped.
+    arrays are empty. Whole texts are searched; repeated rows get equal results. Items without item_id are skipped. A
+    column of that name is replaced; all others stay.
+
+    A benchmark of several blocks is searched block by block, each in a pass of its own over the documents with one
+    automaton to a worker; the few texts with leaks are then joined by the MD5 of the text.
     """
     spark = docs.sparkSession
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text")).filter("item_id is not null and text is not null")
     chars = items.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = -(-chars // BLOCK_CHARS)
-    found = []
+    if not blocks:
+        return docs.withColumn(column, F.array().cast(LEAKS))
+    own, searchers = F.col(f"`{text}`"), []
     for b in range(blocks):
         block = items.filter(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b) if blocks > 1 else items
         rows = [(r["item_id"], r["text"]) for r in block.collect()]  # about BLOCK_CHARS characters
-        found.append(_searcher(_Block(spark.sparkContext.broadcast(rows), rate))(F.col(text)))
-    leaks = F.flatten(F.array(*found)) if found else F.array().cast(LEAKS)
-    return docs.withColumn(column, leaks)
+        searchers.append(_searcher(_Block(spark.sparkContext.broadcast(rows), rate)))
+    if blocks == 1:
+        return docs.withColumn(column, searchers[0](own))
+    passes = [docs.select(F.md5(own).alias("key"), search(own).alias("found")).filter(F.size("found") > 0).dropDuplicates(["key"]) for search in searchers]
+    found = [materialize(p, "leaks") for p in passes]  # one after the other, so that a worker holds one automaton
+    leaks = reduce(DataFrame.unionByName, found).groupBy("key").agg(F.sort_array(F.flatten(F.collect_list("found"))).alias("found"))  # a row per block
+    leaks = materialize(leaks, "leaks")
+    k, f = fresh(docs, "key"), fresh(docs, "found")
+    keep = [c for c in docs.columns if c.lower() != column.lower() or c == text]
+    few = leaks.count() <= BROADCAST_LEAKS
+    out = docs.withColumn(k, F.md5(own)).join((F.broadcast if few else lambda df: df)(leaks.toDF(f"{k}_", f)), F.col(k) == F.col(f"{k}_"), "left")
+    return out.select(*[F.col(f"`{c}`") for c in keep], F.coalesce(F.col(f), F.array().cast(LEAKS)).alias(column))
+
+
+#: Texts with leaks up to this number are broadcast; more are joined by a shuffle.
+BROADCAST_LEAKS = 100_000
 
 
 def _searcher(block: _Block):
@@ -176,6 +198,9 @@ _KEPT: dict = {}
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", rate: float = RATE) -> DataFrame:
-    """Only the documents in which no test item appears."""
-    out = find_leaks(docs, benchmark, text, "__leaks", rate)
-    return out.filter(F.size("__leaks") == 0).drop("__leaks")
+    """Only the documents in which no test item appears, with their columns as they are.
+
+    Null and empty texts stay, repeated rows stay or go together, and with an empty benchmark all documents stay.
+    """
+    leaks = fresh(docs, "leaks")
+    return find_leaks(docs, benchmark, text, leaks, rate).filter(F.size(leaks) == 0).drop(leaks)

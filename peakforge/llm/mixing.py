@@ -15,7 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import materialize
+from ..operators.util import global_rank
+from .common import fresh, materialize
 
 WORDS = r"[^\x20\x09-\x0D]+"
 SCALE = 1 << 52
@@ -43,25 +44,23 @@ def source_targets(sizes: DataFrame, weights=(5, 2, 1), budget: float = 1.5, cap
     """(source, source_size) -> with weight and target.
 
     Sources weigh ``weights`` in turn by code point, null last; they share ``budget`` times all words; what a source
-    would get beyond ``cap`` times its size is shared again by weight until no source is above. The windows run
-    over one row per source.
+    would get beyond ``cap`` times its size is shared again by weight until no source is above. Positions come from a
+    range partitioning and each round of sharing is one sum, so many sources don't meet in one task.
     """
-    turn = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
-    w = F.element_at(F.array(*[F.lit(float(x)) for x in weights]), (turn % len(weights) + 1).cast("int"))
-    out = sizes.withColumn("weight", w).withColumn("most", F.col("source_size") * F.lit(cap))
-    everything = Window.partitionBy()
-    before = Window.orderBy(F.col("most") / F.col("weight"), F.col("source").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
-    out = out.withColumns(
-        {
-            "words": F.sum("source_size").over(everything) * F.lit(budget) - F.coalesce(F.sum("most").over(before), F.lit(0.0)),
-            "others": F.sum("weight").over(everything) - F.coalesce(F.sum("weight").over(before), F.lit(0.0)),
-        }
-    )
-    # In the order of most / weight the sources at their cap come first; the first that is not sets the level for the rest.
-    out = out.withColumn("level", F.when(F.col("most") * F.col("others") > F.col("weight") * F.col("words"), F.col("words") / F.col("others")))
-    first = F.first("level", ignorenulls=True).over(Window.orderBy(F.col("most") / F.col("weight"), F.col("source").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, 0))
-    out = out.withColumn("target", F.coalesce(F.col("weight") * first, F.col("most")))
-    return out.select("source", "source_size", "weight", "target")
+    placed = global_rank(sizes, F.col("source").asc_nulls_last(), column="turn")
+    w = F.element_at(F.array(*[F.lit(float(x)) for x in weights]), ((F.col("turn") - 1) % len(weights) + 1).cast("int"))
+    out = materialize(placed.select("source", "source_size", w.alias("weight"), (F.col("source_size") * F.lit(cap)).alias("most")), "sources")
+    total, n = out.agg(F.sum("source_size"), F.count(F.lit(1))).first()
+    words, others, capped = (total or 0) * budget, None, -1
+    full = F.lit(False)
+    while n:
+        got = out.agg(F.sum(F.when(full, F.col("most"))), F.sum(F.when(~full, F.col("weight"))), F.count_if(full)).first()
+        words, others = (total or 0) * budget - (got[0] or 0.0), got[1]
+        if got[2] == capped or others is None:
+            break
+        capped, full = got[2], F.col("most") * F.lit(others) <= F.col("weight") * F.lit(words)
+    level = F.lit(words / others) if others else F.lit(None).cast("double")
+    return out.select("source", "source_size", "weight", F.when(full, F.col("most")).otherwise(F.coalesce(F.col("weight") * level, F.col("most"))).alias("target"))
 
 
 def mix_sources(docs: DataFrame, text: str = "text", source: str = "source", doc_id: str = "doc_id", weights=(5, 2, 1), budget: float = 1.5, cap: float = 2.0, seed: str = "mix") -> DataFrame:
@@ -69,11 +68,13 @@ def mix_sources(docs: DataFrame, text: str = "text", source: str = "source", doc
 
     Null text has size 0; null is a source of its own; a source without words has target 0. Rows that are equal in id
     and text draw the same number and are taken or left together, so reruns agree whatever the order of rows. A
-    source's words miss its target by half of one document (or such group) at most.
+    source's words miss its target by half of one document (or such group) at most. Other columns stay, whatever their
+    names; an empty table gives an empty result.
     """
     mine = ["size", "source_size", "target", "copies", "taken"]
     rest = [c for c in docs.columns if c.lower() not in mine or c in (text, source, doc_id)]
-    size, u = n_words(F.col(text)), uniform(seed, F.col(doc_id), F.md5(F.coalesce(F.col(text), F.lit(""))))
+    body = F.col(f"`{text}`")
+    size, u = n_words(body), uniform(seed, F.col(f"`{doc_id}`"), F.md5(F.coalesce(body, F.lit(""))))
     slim = materialize(docs.select(F.col(source).alias("source"), size.alias("size"), u.alias("u")), "mix")
     sizes = slim.groupBy("source").agg(F.sum("size").alias("source_size"))
     targets = materialize(source_targets(sizes, weights, budget, cap), "targets")
@@ -115,9 +116,12 @@ def mix_sources(docs: DataFrame, text: str = "text", source: str = "source", doc
     plan = targets.alias("t").join(hint(cuts.alias("c")), F.col("t.source").eqNullSafe(F.col("c.source")), "left")
     plan = materialize(plan.select("t.*", F.coalesce("c.cut", F.lit(-1)).alias("cut")), "mix-plan")
 
-    own = docs.select(*[F.col(f"`{c}`") for c in rest], size.alias("size"), u.alias("__u"))
-    own = own.alias("d").join(hint(plan.alias("t")), F.col(f"d.{source}").eqNullSafe(F.col("t.source")), "left")
-    own = own.select(*[F.col(f"d.`{c}`") for c in rest], F.col("d.size"), F.col("d.__u"), F.col("t.source_size"), F.col("t.target"), F.col("t.cut").alias("__cut"), *[c.alias(f"__{n}") for n, c in expected("t").items()])
-    hit = F.coalesce((pareto_rank(F.col("__u"), F.col("__share")) <= F.col("__cut")).cast("long"), F.lit(0))
-    own = own.withColumn("copies", F.col("__certain") + hit).withColumn("taken", F.col("copies") * F.col("size"))
-    return own.select(*[F.col(f"`{c}`") for c in rest], *mine)
+    z, n, c, k = (fresh(docs, x) for x in ("draw", "size", "cut", "plan"))
+    own = docs.select(*[F.col(f"`{x}`") for x in rest], size.alias(n), u.alias(z)).alias("d")
+    own = own.join(hint(plan.alias("t")), F.col(f"d.`{source}`").eqNullSafe(F.col("t.source")), "left")
+    e = expected("t")
+    own = own.select(*[F.col(f"d.`{x}`") for x in rest], F.col(f"d.{n}"), F.col(f"d.{z}"), F.struct("t.source_size", "t.target", F.col("t.cut").alias("cut"), *[v.alias(x) for x, v in e.items()]).alias(k))
+    hit = F.coalesce((pareto_rank(F.col(z), F.col(k)["share"]) <= F.col(k)["cut"]).cast("long"), F.lit(0))
+    own = own.withColumn(c, F.col(k)["certain"] + hit)
+    made = [F.col(n), F.col(k)["source_size"], F.col(k)["target"], F.col(c), F.col(c) * F.col(n)]
+    return own.select(*[F.col(f"`{x}`") for x in rest], *[v.alias(x) for x, v in zip(mine, made, strict=True)])

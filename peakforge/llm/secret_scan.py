@@ -16,7 +16,7 @@ from re import _parser as sre
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let
+from .common import fresh, let
 
 
 @dataclass(frozen=True)
@@ -108,19 +108,20 @@ def trigram_query(pattern: str) -> frozenset:
     return query if strings is None else _strings_query(strings)
 
 
-def trigram_index(docs: DataFrame, text: str, queries: list[frozenset], prefix: str = "__g") -> tuple[DataFrame, dict[str, tuple[str, int]]]:
+def trigram_index(docs: DataFrame, text: str, queries: list[frozenset]) -> tuple[DataFrame, dict[str, tuple[str, int]]]:
     """Add the posting bits of all trigrams of ``queries`` (63 to a column); also returns trigram -> (column, bit)."""
     grams = sorted({g for q in queries for c in q for g in c})
-    low = docs.withColumn(f"{prefix}low", F.lower(F.col(text)))
+    lower = fresh(docs, "lower")
+    low = docs.withColumn(lower, F.lower(F.col(f"`{text}`")))
     at, columns = {}, {}
     for block in range(0, len(grams), 63):
-        name = f"{prefix}{block // 63}"
+        name = fresh(docs, f"grams{block // 63}_")
         bits = F.lit(0).cast("long")
         for i, g in enumerate(grams[block : block + 63]):
             at[g] = (name, i)
-            bits = bits.bitwiseOR(F.when(F.contains(F.col(f"{prefix}low"), F.lit(g)), F.lit(1 << i).cast("long")).otherwise(F.lit(0).cast("long")))
+            bits = bits.bitwiseOR(F.when(F.contains(F.col(lower), F.lit(g)), F.lit(1 << i).cast("long")).otherwise(F.lit(0).cast("long")))
         columns[name] = bits
-    return low.withColumns(columns).drop(f"{prefix}low"), at
+    return low.withColumns(columns).drop(lower), at
 
 
 def candidate(query: frozenset, at: dict[str, tuple[str, int]]) -> Column:
@@ -137,24 +138,27 @@ def candidate(query: frozenset, at: dict[str, tuple[str, int]]) -> Column:
     return out
 
 
-def running_sums(a: Column, width: int = 128) -> Column:
-    """Inclusive running sums of an array of numbers, by blocks, so that long arrays don't cost their square."""
+def running(a: Column, join, width: int = 128) -> Column:
+    """Inclusive running values of an array of numbers under ``join`` (sum, maximum), by blocks, so that long arrays
+    don't cost their square."""
 
     def total(x: Column) -> Column:
-        return F.aggregate(x, F.lit(0).cast("long"), lambda s, v: s + v)
+        return F.aggregate(x, F.lit(None).cast("long"), lambda s, v: F.when(s.isNull(), v.cast("long")).otherwise(join(s, v.cast("long"))))
 
     def of(x: Column) -> Column:
         blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(x) - 1) / width).cast("int")), lambda b: F.slice(x, b * width + 1, F.lit(width)))
 
-        def with_sums(y: Column) -> Column:  # struct(blocks, sums)
-            return F.flatten(
-                F.transform(
-                    y["blocks"],
-                    lambda block, i: let(total(F.slice(y["sums"], F.lit(1), i)), lambda before: F.transform(block, lambda _, j: before + total(F.slice(block, F.lit(1), j + 1)))),
-                )
-            )
+        def with_totals(y: Column) -> Column:  # struct(blocks, totals)
+            def inside(block: Column, i: Column) -> Column:
+                def of_block(before: Column) -> Column:
+                    own = F.transform(block, lambda _, j: total(F.slice(block, F.lit(1), j + 1)))
+                    return F.when(before.isNull(), own).otherwise(F.transform(own, lambda v: join(before, v)))
 
-        return let(let(blocks, lambda b: F.struct(b.alias("blocks"), F.transform(b, total).alias("sums"))), with_sums)
+                return let(total(F.slice(y["totals"], F.lit(1), i)), of_block)
+
+            return F.flatten(F.transform(y["blocks"], inside))
+
+        return let(let(blocks, lambda b: F.struct(b.alias("blocks"), F.transform(b, total).alias("totals"))), with_totals)
 
     return F.when(F.size(a) > 0, let(a, of)).otherwise(F.array().cast("array<bigint>"))
 
@@ -166,7 +170,8 @@ def find_spans(text: Column, rule: SecretRule, no: int) -> Column:
     """Spans of a rule as array of struct(start, no, kind, end), in code points, end exclusive."""
 
     def of(x: Column) -> Column:  # struct(found, lens, pieces)
-        ends = running_sums(F.zip_with(F.transform(x["found"], F.length), F.transform(F.slice(x["pieces"], F.lit(1), F.size(x["found"])), F.length), lambda a, b: (a + b).cast("long")))
+        gaps = F.transform(F.slice(x["pieces"], F.lit(1), F.size(x["found"])), F.length)
+        ends = running(F.zip_with(F.transform(x["found"], F.length), gaps, lambda a, b: (a + b).cast("long")), lambda a, b: a + b)
         spans = F.transform(
             F.arrays_zip(ends.alias("end"), x["found"].alias("m"), x["kept"].alias("kept")),
             lambda z: F.struct((z["end"] - F.length(z["m"])).alias("start"), F.lit(no).alias("no"), F.lit(rule.kind).alias("kind"), z["end"].alias("end"), (F.length(z["kept"]) >= rule.least).alias("ok")),
@@ -186,10 +191,11 @@ def scan_secrets(docs: DataFrame, text: str = "text", rules=RULES, column: str =
     """
     queries = {r.kind: trigram_query(r.pattern) for r in rules}
     rest = [c for c in docs.columns if c.lower() != column.lower() or c == text]
-    base = docs.select(*[F.col(f"`{c}`") for c in rest], F.coalesce(F.col(text), F.lit("")).alias("__text"))
-    indexed, at = trigram_index(base, "__text", list(queries.values()))
+    whole = fresh(docs, "text")
+    base = docs.select(*[F.col(f"`{c}`") for c in rest], F.coalesce(F.col(f"`{text}`"), F.lit("")).alias(whole))
+    indexed, at = trigram_index(base, whole, list(queries.values()))
     none = F.array().cast(_SPAN)
-    found = [F.when(candidate(queries[r.kind], at), find_spans(F.col("__text"), r, i)).otherwise(none) for i, r in enumerate(rules)]
+    found = [F.when(candidate(queries[r.kind], at), find_spans(F.col(whole), r, i)).otherwise(none) for i, r in enumerate(rules)]
     return indexed.select(*[F.col(f"`{c}`") for c in rest], F.array_sort(F.flatten(F.array(*found))).alias(column))
 
 
@@ -198,25 +204,47 @@ def span_list(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
+def _merged(spans: Column) -> Column:
+    """Disjoint struct(start, end) of sorted spans; overlapping ones become one, touching ones do not."""
+
+    def of(x: Column) -> Column:  # struct(s: spans, m: running maxima of their ends)
+        starts = F.filter(F.transform(x["s"], lambda s, i: F.when((i == 0) | (s["start"] >= F.get(x["m"], i - 1)), s["start"])), lambda v: v.isNotNull())
+        ends = F.filter(F.transform(x["m"], lambda m, i: F.when((i == F.size(x["m"]) - 1) | (F.get(x["s"], i + 1)["start"] >= m), m)), lambda v: v.isNotNull())
+        return F.arrays_zip(starts.alias("start"), ends.alias("end"))
+
+    return let(F.struct(spans.alias("s"), running(F.transform(spans, lambda s: s["end"]), F.greatest).alias("m")), of)
+
+
+#: Characters of a text that are cut at once when secrets are replaced.
+_CUT = 4096
+
+
 def redact(docs: DataFrame, text: str = "text", rules=RULES) -> DataFrame:
-    """Replace every secret span of ``text`` by ``[SECRET]``; overlapping spans become one. Nulls stay null."""
-    marked = scan_secrets(docs, text, rules, "__spans")
-
-    def cut(spans: Column) -> Column:
-        t = F.col(text)
-        merged = F.aggregate(
-            spans,
-            F.array().cast("array<struct<start:bigint,end:bigint>>"),
-            lambda acc, s: F.when(
-                (F.size(acc) > 0) & (F.element_at(acc, -1)["end"] > s["start"]),
-                F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(F.struct(F.element_at(acc, -1)["start"].alias("start"), F.greatest(F.element_at(acc, -1)["end"], s["end"]).alias("end")))),
-            ).otherwise(F.concat(acc, F.array(F.struct(s["start"].alias("start"), s["end"].alias("end"))))),
-        )
+    """Replace every secret span of ``text`` by ``[SECRET]``; overlapping spans become one. Nulls stay null.
+
+    The text column is replaced; all others stay, whatever their names. A text is cut into blocks of ``_CUT`` characters,
+    so that long texts with many secrets don't cost their square.
+    """
+    spans = fresh(docs, "spans")
+    marked = scan_secrets(docs, text, rules, spans)
+
+    def glue(x: Column) -> Column:  # struct(m: merged spans, blocks)
+        def block(b: Column, j: Column) -> Column:
+            lo = j * _CUT
+            hi = lo + F.length(b)
+            part = lambda a, z: F.substring(b, (a - lo + 1).cast("int"), F.greatest(z - a, F.lit(0)).cast("int"))
+
+            def pieces(own: Column) -> Column:
+                before = lambda i: F.greatest(F.coalesce(F.get(own, i - 1)["end"], lo), lo)
+                cut = F.transform(own, lambda s, i: F.concat(part(F.when(i > 0, before(i)).otherwise(lo), s["start"]), F.when(s["start"] >= lo, F.lit("[SECRET]")).otherwise(F.lit(""))))
+                return F.concat(F.array_join(cut, ""), part(F.when(F.size(own) > 0, F.least(F.element_at(own, -1)["end"], hi)).otherwise(lo), hi))
 
-        def glue(m: Column) -> Column:
-            pieces = F.transform(m, lambda s, i: F.concat(F.substring(t, (F.when(i > 0, m[i - 1]["end"]).otherwise(F.lit(0)) + 1).cast("int"), (s["start"] - F.when(i > 0, m[i - 1]["end"]).otherwise(F.lit(0))).cast("int")), F.lit("[SECRET]")))
-            return F.concat(F.array_join(pieces, ""), F.substring(t, (F.element_at(m, -1)["end"] + 1).cast("int"), F.length(t)))
+            own = F.filter(x["m"], lambda s: (s["start"] < hi) & (s["end"] > lo))
+            return F.when(F.exists(x["m"], lambda s: (s["start"] < hi) & (s["end"] > lo)), let(own, pieces)).otherwise(b)
 
-        return let(merged, glue)
+        return F.array_join(F.transform(x["blocks"], block), "")
 
-    return marked.withColumn(text, F.when(F.size("__spans") > 0, cut(F.col("__spans"))).otherwise(F.col(text))).drop("__spans")
+    t = F.col(f"`{text}`")
+    blocks = F.regexp_extract_all(t, F.lit(f"(?s).{{1,{_CUT}}}"), F.lit(0))
+    new = let(F.struct(_merged(F.col(spans)).alias("m"), blocks.alias("blocks")), glue)
+    return marked.withColumn(text, F.when(F.size(spans) > 0, new).otherwise(t)).drop(spans)
