@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -26,9 +27,15 @@ def let(value: Column, body) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir``; set here only where it is unset (tests)."""
+    """The folder that all executors share, ``spark.checkpoint.dir``.
+
+    It is set here only where it is unset and everything runs in one process (``local``, as in tests). On a cluster
+    without it an error is raised, as no folder of one machine can serve instead.
+    """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="peakforge-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
@@ -53,3 +60,16 @@ def fresh(df: DataFrame, name: str) -> str:
     while out.lower() in taken:
         out += "_"
     return out
+
+
+#: Parts into which a salted join deals each key.
+SALT = 16
+
+
+def salted_join(left: DataFrame, right: DataFrame, key: str, by: str, how: str = "inner") -> DataFrame:
+    """Join on ``key``, of which one value may hold much of ``left``: its rows are dealt by ``by`` to ``SALT`` parts, and
+    ``right``, which has a row for each key, is repeated for each part."""
+    part = "__part"
+    dealt = left.withColumn(part, F.pmod(F.xxhash64(by), F.lit(SALT)))
+    repeated = right.withColumn(part, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALT - 1).cast("long"))))
+    return dealt.join(repeated, [key, part], how).drop(part)

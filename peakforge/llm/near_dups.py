@@ -23,10 +23,10 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, materialize
+from .common import fresh, materialize, salted_join
 
 _WORD = re.compile(r"\w+")
 
@@ -41,7 +41,7 @@ class NearConfig:
     bands: int = 26
     rows: int = 5
     slack: float = 0.15
-    block: int = 1024
+    block: int = 512
 
     @property
     def components(self) -> int:
@@ -326,10 +326,29 @@ def _residual(members: DataFrame, signed: DataFrame, bags: DataFrame, config: Ne
     return dealt.join(own, "key").groupBy("bucket", "kind", "x", "y").applyInPandas(_block_links(config), "a long, b long")
 
 
-def near_classes(docs: DataFrame, text: str = "text", config: NearConfig | None = None) -> DataFrame:
-    """(key, root) for all texts that have near duplicates; key and root are 64-bit hashes of whole texts."""
+def text_key(docs: DataFrame, text: str = "text") -> Column:
+    """A 64-bit key of each text that different texts of ``docs`` do not share.
+
+    A second, independent hash tells texts whose first hash agrees apart: 128 bits in all. Such texts are few in 10^11;
+    their keys come from a third hash. Null texts have a null key.
+    """
+    own = F.col(f"`{text}`")
+    hashes = docs.filter(own.isNotNull()).select(F.xxhash64(own).alias("key"), F.xxhash64(F.lit(7), own).alias("other"))
+    clash = hashes.groupBy("key").agg(F.min("other").alias("least"), F.max("other").alias("most")).filter("least <> most")
+    return _key_of(own, [r["key"] for r in clash.collect()])
+
+
+def _key_of(own: Column, clashes: list[int]) -> Column:
+    key = F.xxhash64(own)
+    return F.when(own.isNotNull(), F.when(key.isin(clashes), F.xxhash64(F.lit(8), own)).otherwise(key) if clashes else key)
+
+
+def near_classes(docs: DataFrame, text: str = "text", config: NearConfig | None = None, key: Column | None = None) -> DataFrame:
+    """(key, root) for all texts that have near duplicates; key and root are ``text_key`` of whole texts."""
     config = config or NearConfig()
-    texts = docs.filter(F.col(text).isNotNull()).select(F.xxhash64(text).alias("key"), F.col(text).alias("text"))
+    own = F.col(f"`{text}`")
+    key = text_key(docs, text) if key is None else key
+    texts = docs.filter(own.isNotNull()).select(key.alias("key"), own.alias("text"))
     signed = materialize(_signed(texts, config).dropDuplicates(["key"]), "signatures")
     in_bands = signed.select("key", F.explode("bands").alias("bucket"))
     shared = in_bands.groupBy("bucket").agg(F.min("key").alias("leader"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
@@ -349,40 +368,49 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
 
     Classes are the connected components of the links between equal texts and texts whose five-word shingle multisets
     overlap by ``similarity`` or more. Texts without words are alike only if they are equal; a null text is a class of
-    its own. Rows with null doc_id count as last; repeated rows each give a row.
+    its own. Rows with null doc_id count as last; repeated rows each give a row. An empty table gives an empty result.
+
+    Only texts that others equal or resemble are joined to the rows; these joins are salted, as one text or one class may
+    hold much of the table.
     """
-    roots = near_classes(docs, text, config)
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("key"), F.col(text).isNull().alias("empty"))
-    rows = materialize(rows, "near-rows")
-    firsts = rows.filter(~F.col("empty")).groupBy("key").agg(F.min("doc_id").alias("first"))
-    firsts = firsts.join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
-    classes = firsts.groupBy("root").agg(F.min("first").alias("class_id"))
-    named = materialize(firsts.join(classes, "root").select("key", "class_id"), "near-classes")
-    out = rows.withColumn("at", F.when(~F.col("empty"), F.col("key"))).join(named.withColumnRenamed("key", "at"), "at", "left")
-    return out.select("doc_id", F.when(F.col("empty"), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"))
+    key = text_key(docs, text)
+    roots = near_classes(docs, text, config, key)
+    rows = materialize(docs.select(F.col(f"`{doc_id}`").alias("doc_id"), key.alias("key")), "near-rows")
+    firsts = rows.filter("key is not null").groupBy("key").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n"))
+    several = materialize(firsts.join(roots, "key", "left").filter("n > 1 or root is not null").select("key", "first", F.coalesce("root", "key").alias("root")), "near-firsts")
+    classes = several.groupBy("root").agg(F.min("first").alias("class_id"))
+    named = materialize(salted_join(several.select("key", "root"), classes, "root", "key").select("key", "class_id", F.lit(True).alias("known")), "near-classes")
+    found = salted_join(rows.filter("key is not null"), named, "key", "doc_id", "left")
+    out = found.select("doc_id", F.when(F.col("known"), F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id"))
+    return out.unionByName(rows.filter("key is null").select("doc_id", F.col("doc_id").alias("class_id")))
 
 
 def drop_near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", config: NearConfig | None = None) -> DataFrame:
     """One document of each class: the row with the least doc_id; null texts all stay. Of repeated rows one stays.
 
-    Only the keys of rows that go are joined to the documents, by broadcast if they are few.
+    The columns stay as they are, whatever their names; an empty table stays empty. The first of each class is found by
+    sums over texts and then over classes, combined before each shuffle; the rows that go are those that are no such first, by
+    id and text, so nothing is dealt by class. Only they are joined to the documents, by broadcast if they are few.
     """
-    roots = near_classes(docs, text, config)
-    rows = materialize(docs.filter(F.col(text).isNotNull()).groupBy(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("key")).agg(F.count(F.lit(1)).alias("n")), "near-rows")
-    ranked = rows.join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
+    key = text_key(docs, text)
+    roots = near_classes(docs, text, config, key)
+    own = F.col(f"`{text}`")
+    rows = docs.filter(own.isNotNull()).groupBy(F.col(f"`{doc_id}`").alias("doc_id"), key.alias("key")).agg(F.count(F.lit(1)).alias("n"))
+    rows = materialize(rows, "near-rows")
     order = F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id").alias("doc_id"), F.col("key").alias("key"))
-    best = ranked.groupBy("root").agg(F.min(order).alias("best"))
-    losers = ranked.join(best, "root").filter(~(F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("key") == F.col("best.key")))).select("doc_id", "key")
-    losers = materialize(losers, "near-losers")
+    firsts = rows.groupBy("key").agg(F.min(order).alias("first")).join(roots, "key", "left")
+    best = firsts.groupBy(F.coalesce("root", "key").alias("root")).agg(F.min("first").alias("first")).select("first.doc_id", "first.key")
+    same = lambda a, b: (F.col(f"{a}.key") == F.col(f"{b}.key")) & F.col(f"{a}.doc_id").eqNullSafe(F.col(f"{b}.doc_id"))
+    best = materialize(best, "near-best")
+    losers = materialize(rows.select("doc_id", "key").alias("r").join(best.alias("b"), same("r", "b"), "left_anti"), "near-losers")
     k, i = fresh(docs, "key"), fresh(docs, "id")
     gone = losers.select(F.col("doc_id").alias(f"{i}_gone"), F.col("key").alias(f"{k}_gone"))
     gone = F.broadcast(gone) if losers.count() <= BROADCAST_KEYS else gone
-    keyed = docs.withColumn(k, F.when(F.col(text).isNotNull(), F.xxhash64(text)))
-    kept = keyed.join(gone, (F.col(k) == F.col(f"{k}_gone")) & F.col(doc_id).eqNullSafe(F.col(f"{i}_gone")), "left_anti")
-    twice = materialize(rows.filter("n > 1").join(losers.withColumn("gone", F.lit(1)), (rows["key"] == losers["key"]) & rows["doc_id"].eqNullSafe(losers["doc_id"]), "left_anti").select("doc_id", "key"), "near-repeats")
-    if twice.isEmpty():
-        return kept.drop(k)
-    again = twice.select(F.col("doc_id").alias(f"{i}_twice"), F.col("key").alias(f"{k}_twice"))
-    on = (F.col(k) == F.col(f"{k}_twice")) & F.col(doc_id).eqNullSafe(F.col(f"{i}_twice"))
-    repeated = kept.join(again, on, "left_semi").dropDuplicates([k])
-    return kept.join(again, on, "left_anti").unionByName(repeated).drop(k)
+    keyed = docs.filter(own.isNotNull()).withColumn(k, key)
+    kept = keyed.join(gone, (F.col(k) == F.col(f"{k}_gone")) & F.col(f"`{doc_id}`").eqNullSafe(F.col(f"{i}_gone")), "left_anti")
+    twice = materialize(rows.filter("n > 1").select("doc_id", "key").alias("r").join(losers.alias("l"), same("r", "l"), "left_anti"), "near-repeats")
+    if not twice.isEmpty():
+        again = twice.select(F.col("doc_id").alias(f"{i}_twice"), F.col("key").alias(f"{k}_twice"))
+        on = (F.col(k) == F.col(f"{k}_twice")) & F.col(f"`{doc_id}`").eqNullSafe(F.col(f"{i}_twice"))
+        kept = kept.join(again, on, "left_anti").unionByName(kept.join(again, on, "left_semi").dropDuplicates([k]))
+    return kept.drop(k).unionByName(docs.filter(own.isNull()))

@@ -99,3 +99,45 @@ def test_components(spark):
     links = spark.createDataFrame([(1, 2), (2, 3), (3, 4), (4, 5), (10, 11), (7, 7)] + [(100, i) for i in range(101, 140)], "a long, b long")
     out = {r.key: r.root for r in N.components(links).collect()}
     assert all(out[i] == 1 for i in range(1, 6)) and out[11] == 10 and out[7] == 7 and {out[i] for i in range(100, 140)} == {100}
+
+
+def test_keys_whose_first_hash_agrees(spark, monkeypatch):
+    """Texts of one 64-bit hash are told apart by the second: here a hash of four values."""
+    from pyspark.sql import functions as F
+
+    rows = corpus(60)
+    df = spark.createDataFrame([(i, t, "l", "k", "r") for i, t in rows], ROWS)
+    weak = F.length("text") % 4
+    clash = df.filter("text is not null").groupBy(weak.cast("long").alias("key")).agg(F.countDistinct("text").alias("n")).filter("n > 1").count()
+    assert clash > 1
+    key = N._key_of(F.col("text"), [r[0] for r in df.filter("text is not null").select(F.xxhash64("text")).limit(5).collect()])
+    got = df.select("text", key.alias("key")).filter("text is not null").groupBy("key").agg(F.countDistinct("text").alias("n"))
+    assert got.filter("n > 1").count() == 0 and df.select(key.alias("key")).filter("key is null").count() == 2
+
+
+def test_clashing_names(spark):
+    names = "doc_id text __key __id __keys key id root first known __part class_id".split()
+    df = spark.createDataFrame([(i, "a b c d e f g", *names[2:]) for i in range(4)], names)
+    row = N.drop_near_duplicates(df).collect()
+    assert len(row) == 1 and all(row[0][n] == n for n in names[2:])
+    assert {r.class_id for r in N.near_duplicates(df).collect()} == {0}
+
+
+def test_one_text_holds_most_rows(spark):
+    rows = [(i, "the same text in most of the rows" if i % 3 else f"other {i} words of its own kind") for i in range(3000)] + [(None, "the same text in most of the rows")] * 3
+    df = spark.createDataFrame([(i, t, "l", "k", "r") for i, t in rows], ROWS)
+    out = N.near_duplicates(df).collect()
+    assert len(out) == 3003 and all(r.class_id == (1 if r.doc_id is None or r.doc_id % 3 else r.doc_id) for r in out)
+    assert N.drop_near_duplicates(df).count() == 1001
+
+
+def test_shared_folder_is_needed_on_a_cluster(spark, monkeypatch):
+    from types import SimpleNamespace
+
+    from peakforge.llm import common
+
+    unset = lambda master: SimpleNamespace(conf=SimpleNamespace(get=lambda k, d: None, set=lambda k, v: None), sparkContext=SimpleNamespace(master=master))
+    for master in ("spark://host:7077", "yarn", "local-cluster[3,2,3000]"):
+        with pytest.raises(ValueError):
+            common.shared_dir(unset(master))
+    assert common.shared_dir(unset("local[4]")).startswith("file://")
