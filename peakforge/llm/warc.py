@@ -2,8 +2,8 @@
 
 ``write_archives`` writes one gzip member per record into files of the shared folder, a new file per task attempt, and
 returns where each record lies. ``build_index`` sorts the captures by reversed-host URL key and writes them as
-compressed blocks of ``lines`` lines with, for each shard of the key range, a sparse directory of the blocks' first
-keys. ``lookup`` finds the shard and the block by binary search and reads that block alone; ``read_records`` then makes
+compressed blocks of ``lines`` lines with, for each shard of the range of (key, page_id), a sparse directory of the
+blocks' first places. ``lookup`` finds the shard and the block by binary search and reads that block alone; ``read_records`` then makes
 range reads in file order. Only one row per shard reaches the driver.
 """
 
@@ -23,13 +23,15 @@ import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, new_folder
+from .common import materialize, new_folder, salted_join
 
 SHORT = 100  # payloads of fewer bytes never become revisits
 FILE_BYTES = 512 << 20
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "2024-01-01T00:00:00Z"
 BATCH_BYTES = 8 << 20
+#: Digests of payloads that come twice are broadcast up to this number (about 10 MB); more are joined by a shuffle.
+BROADCAST_FIRSTS = 100_000
 
 
 def url_key(url: Column) -> Column:
@@ -103,12 +105,20 @@ def write_archives(pages: DataFrame, folder: str, page_id: str = "page_id", url:
     Null html is an empty payload. Of equal payloads of ``short`` bytes or more the smallest page_id is the response, with
     all rows of that id; the others revisit it. Rows without page_id come last.
     """
-    body = F.encode(F.coalesce(F.col(html), F.lit("")), "UTF-8")
-    base = pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).alias("url"), body.alias("body")).withColumns({"digest": F.sha2("body", 256), "n": F.octet_length("body").cast("long")})
-    firsts = base.filter(F.col("n") >= short).groupBy("digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("rows")).filter("rows > 1").drop("rows")
-    marked = base.join(firsts, "digest", "left")
-    again = (F.col("n") >= short) & F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
-    marked = marked.select("page_id", "url", F.when(~again, F.col("body")).alias("body"), "n", "digest", F.when(again, F.col("first")).alias("first"), url_key(F.col("url")).alias("key"))
+    body = F.encode(F.coalesce(F.col(f"`{html}`"), F.lit("")), "UTF-8")
+    base = pages.select(F.col(f"`{page_id}`").cast("long").alias("page_id"), F.col(f"`{url}`").alias("url"), body.alias("body"))
+    base = base.withColumns({"digest": F.sha2("body", 256), "n": F.octet_length("body").cast("long")})
+    known = base.filter(F.col("n") >= short).select("digest", "page_id")
+    firsts = known.groupBy("digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("rows")).filter("rows > 1").select("digest", "first")
+    firsts = materialize(firsts, "firsts")
+    long = base.filter(F.col("n") >= short)
+    # Bodies stay where they are if few payloads come twice.
+    marked = long.join(F.broadcast(firsts), "digest", "left") if firsts.count() <= BROADCAST_FIRSTS else salted_join(long, firsts, "digest", "page_id", "left")
+    again = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
+    columns = ["page_id", "url", "body", "n", "digest", "first"]
+    marked = marked.withColumns({"body": F.when(~again, F.col("body")), "first": F.when(again, F.col("first"))}).select(*columns)
+    marked = marked.unionByName(base.filter(F.col("n") < short).withColumn("first", F.lit(None).cast("long")).select(*columns))
+    marked = marked.withColumn("key", url_key(F.col("url")))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = pafs.FileSystem.from_uri(folder)
@@ -134,10 +144,23 @@ def write_archives(pages: DataFrame, folder: str, page_id: str = "page_id", url:
     return marked.mapInArrow(write, _CAPTURES)
 
 
+Place = tuple[str, bool, int]  # key, whether there is a page_id, page_id: the order of captures
+
+
+def _place(key: str, page_id: int | None) -> Place:
+    return (key, page_id is not None, page_id or 0)
+
+
+def _dealt(df: DataFrame, *columns: str) -> DataFrame:
+    """By range into as many parts as shuffles have, which are not merged though rows are small: each row means a read."""
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartitionByRange(parts, *columns).sortWithinPartitions(*columns)
+
+
 @dataclass
 class CaptureIndex:
     folder: str
-    shards: list[tuple[str, str]]  # first key, name; sorted
+    shards: list[tuple[Place, str]]  # first place, name; sorted
 
 
 def build_index(captures: DataFrame, folder: str, lines: int = 2000) -> CaptureIndex:
@@ -155,7 +178,7 @@ def build_index(captures: DataFrame, folder: str, lines: int = 2000) -> CaptureI
                     out = fs.open_output_stream(f"{root}/{name}.cdx", compression=None)
                 data = zlib.compress("\n".join(json.dumps(x) for x in block).encode())
                 out.write(data)
-                directory.append((block[0][0], at, len(data)))
+                directory.append((block[0][0], block[0][1], at, len(data)))
                 at += len(data)
                 block.clear()
 
@@ -169,34 +192,34 @@ def build_index(captures: DataFrame, folder: str, lines: int = 2000) -> CaptureI
             out.close()
             with fs.open_output_stream(f"{root}/{name}.dir", compression=None) as d:
                 d.write(json.dumps(directory).encode())
-            yield pa.RecordBatch.from_arrays([pa.array([directory[0][0]]), pa.array([name])], ["first", "name"])
+            yield pa.RecordBatch.from_arrays([pa.array([directory[0][0]]), pa.array([directory[0][1]], pa.int64()), pa.array([name])], ["first", "page_id", "name"])
 
-    ordered = captures.repartitionByRange("key", F.col("page_id")).sortWithinPartitions("key", "page_id")
-    shards = materialize(ordered.mapInArrow(write, "first string, name string"), "shards")
+    ordered = captures.repartitionByRange("key", "page_id").sortWithinPartitions("key", "page_id")
+    shards = materialize(ordered.mapInArrow(write, "first string, page_id long, name string"), "shards")
     found = shards.collect()  # a row for each partition of the range
-    return CaptureIndex(folder, sorted((r["first"], r["name"]) for r in found))
+    return CaptureIndex(folder, sorted((_place(r["first"], r["page_id"]), r["name"]) for r in found))
 
 
 class _Reader:
-    """Binary search in the shards and directories; keeps the last directories and blocks."""
+    """Binary search by (key, page_id) in the shards, directories and blocks; keeps the last directories and blocks."""
 
     def __init__(self, index: CaptureIndex):
         self.fs, self.root = pafs.FileSystem.from_uri(index.folder)
-        self.index, self.firsts = index, [k for k, _ in index.shards]
-        self.dirs: dict[int, tuple[list[str], list]] = {}
-        self.blocks: dict[tuple[int, int], tuple[list[str], list]] = {}
+        self.index, self.firsts = index, [p for p, _ in index.shards]
+        self.dirs: dict[int, tuple[list[Place], list]] = {}
+        self.blocks: dict[tuple[int, int], tuple[list[Place], list]] = {}
         self.files: dict[int, pa.NativeFile] = {}
 
-    def directory(self, s: int) -> tuple[list[str], list]:
+    def directory(self, s: int) -> tuple[list[Place], list]:
         if s not in self.dirs:
             if len(self.dirs) >= 4:
                 self.dirs.clear()
             with self.fs.open_input_stream(f"{self.root}/{self.index.shards[s][1]}.dir", compression=None) as f:
                 rows = json.loads(f.read())
-            self.dirs[s] = ([r[0] for r in rows], rows)
+            self.dirs[s] = ([_place(r[0], r[1]) for r in rows], rows)
         return self.dirs[s]
 
-    def block(self, s: int, b: int) -> tuple[list[str], list]:
+    def block(self, s: int, b: int) -> tuple[list[Place], list]:
         if (s, b) not in self.blocks:
             if len(self.blocks) >= 8:
                 self.blocks.clear()
@@ -204,37 +227,37 @@ class _Reader:
                 for f in self.files.values():
                     f.close()
                 self.files = {s: self.fs.open_input_file(f"{self.root}/{self.index.shards[s][1]}.cdx")}
-            _, at, size = self.directory(s)[1][b]
+            _, _, at, size = self.directory(s)[1][b]
             rows = [json.loads(x) for x in zlib.decompress(self.files[s].read_at(size, at)).decode().split("\n")]
-            self.blocks[s, b] = ([r[0] for r in rows], rows)
+            self.blocks[s, b] = ([_place(r[0], r[1]) for r in rows], rows)
         return self.blocks[s, b]
 
     def find(self, key: str, page_id: int | None) -> Iterator[list]:
-        """All captures of a key and page. A key may go on over blocks and shards, which are read forward from the first."""
-        s = max(0, bisect.bisect_left(self.firsts, key) - 1)
-        while s < len(self.firsts) and self.firsts[s] <= key:
+        """All captures of a key and page. Only captures equal in both can go on over blocks and shards, which are then
+        read forward."""
+        place = _place(key, page_id)
+        s = max(0, bisect.bisect_left(self.firsts, place) - 1)
+        while s < len(self.firsts) and self.firsts[s] <= place:
             firsts = self.directory(s)[0]
-            b = max(0, bisect.bisect_left(firsts, key) - 1)
-            while b < len(firsts) and firsts[b] <= key:
-                keys, rows = self.block(s, b)
-                lo, hi = bisect.bisect_left(keys, key), bisect.bisect_right(keys, key)
-                if page_id is None or not any(r[1] is None for r in rows[lo:hi]):
-                    order = [-(1 << 63) if r[1] is None else r[1] for r in rows[lo:hi]]  # nulls sort first
-                    at = -(1 << 63) if page_id is None else page_id
-                    yield from rows[lo + bisect.bisect_left(order, at) : lo + bisect.bisect_right(order, at)]
-                else:
-                    yield from (r for r in rows[lo:hi] if r[1] == page_id)
+            b = max(0, bisect.bisect_left(firsts, place) - 1)
+            while b < len(firsts) and firsts[b] <= place:
+                places, rows = self.block(s, b)
+                yield from rows[bisect.bisect_left(places, place) : bisect.bisect_right(places, place)]
                 b += 1
             s += 1
 
 
 def lookup(queries: DataFrame, index: CaptureIndex) -> DataFrame:
-    """``queries``: key, page_id, both sorted within partitions for good use of what is read. Returns all captures of each."""
+    """``queries``: key, page_id, both sorted within partitions for good use of what is read. Returns all captures of each.
+
+    Queries that no capture answers give no row, one that comes twice gives its captures twice, a null page_id finds
+    captures without page_id, and a null key nothing. Other columns are not read; an empty table gives an empty result.
+    """
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = _Reader(index)
         for batch in batches:
-            rows = [r for k, p in zip(*(c.to_pylist() for c in batch.columns), strict=True) for r in reader.find(k, p)]
+            rows = [r for k, p in zip(*(c.to_pylist() for c in batch.columns), strict=True) if k is not None for r in reader.find(k, p)]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64()), strict=True)], ["key", "page_id", "kind", "file", "at", "size"])
 
@@ -243,7 +266,11 @@ def lookup(queries: DataFrame, index: CaptureIndex) -> DataFrame:
 
 def read_records(captures: DataFrame, folder: str, payload: bool = False) -> DataFrame:
     """Range-read the records of captures, in file order: page_id, record_type, refers_to, payload_bytes, payload_digest
-    (and with ``payload`` the payload, null for revisits)."""
+    (and with ``payload`` the payload, null for revisits).
+
+    A capture that comes twice is read twice; a record that is not as it was written is an error. Other columns than file,
+    at and size are not read; an empty table gives an empty result.
+    """
     schema = "page_id long, record_type string, refers_to long, payload_bytes long, payload_digest string" + ", payload binary" * payload
     types = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string()] + [pa.binary()] * payload
     names = [x.split()[0] for x in schema.split(", ")]
@@ -275,8 +302,7 @@ def read_records(captures: DataFrame, folder: str, payload: bool = False) -> Dat
         if file is not None:
             file.close()
 
-    ordered = captures.select("file", "at", "size").repartitionByRange("file", "at").sortWithinPartitions("file", "at")
-    return ordered.mapInArrow(read, schema)
+    return _dealt(captures.select("file", "at", "size"), "file", "at").select("file", "at", "size").mapInArrow(read, schema)
 
 
 def archive_pages(spark: SparkSession, pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
@@ -284,6 +310,5 @@ def archive_pages(spark: SparkSession, pages: DataFrame, page_id: str = "page_id
     folder = new_folder(spark, "warc")
     captures = materialize(write_archives(pages, folder, page_id, url, html), "captures")
     index = build_index(captures.select("key", "page_id", "kind", "file", "at", "size"), new_folder(spark, "cdx"))
-    asked = pages.select(url_key(F.col(url)).alias("key"), F.col(page_id).cast("long").alias("page_id")).distinct()
-    asked = asked.repartitionByRange("key", "page_id").sortWithinPartitions("key", "page_id")
-    return read_records(lookup(asked, index), folder)
+    asked = pages.select(url_key(F.col(f"`{url}`")).alias("key"), F.col(f"`{page_id}`").cast("long").alias("page_id")).distinct()
+    return read_records(lookup(_dealt(asked, "key", "page_id"), index), folder)

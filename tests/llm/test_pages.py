@@ -210,6 +210,29 @@ def test_lookup_in_many_blocks(spark, tmp_path):
     assert W.lookup(missing, index).count() == 0
 
 
+def test_lookup_of_one_hot_url(spark, tmp_path):
+    """Many captures of one URL: a lookup reads the blocks of its page alone, however many there are."""
+    rows = [("com,a)/", i if i else None, "response", "f", i, 1) for i in range(5000)] + [("com,a)/", 77, "revisit", "g", k, 1) for k in range(40)]
+    captures = spark.createDataFrame(rows, "key string, page_id long, kind string, file string, at long, size long")
+    index = W.build_index(captures.repartition(3), f"file://{tmp_path}/cdx", lines=16)
+    reader, reads = W._Reader(index), []
+    block = reader.block
+    reader.block = lambda s, b: reads.append((s, b)) or block(s, b)
+    for i in (None, 1, 76, 78, 2500, 4999):
+        reads.clear()
+        assert [r[4] for r in reader.find("com,a)/", i)] == [i or 0] and len(reads) <= 4
+    assert len(list(reader.find("com,a)/", 77))) == 41 and not list(reader.find("com,a)/", 5000)) and not list(reader.find("", None))
+
+
+@pytest.mark.parametrize("few", [0, 100])
+def test_many_equal_payloads(spark, few, monkeypatch):
+    """Revisits by broadcast and by shuffle; empty and short payloads, null URLs and a very long one."""
+    monkeypatch.setattr(W, "BROADCAST_FIRSTS", few)
+    rows = [(i, None, "x" * 200, None, None) for i in range(300)] + [(i, f"http://a.x/{i % 3}", None, None, None) for i in range(300, 600)] + [(700, "http://b.x/", "z" * 5_000_000, None, None)]
+    out = {r.page_id: (r.record_type, r.refers_to, r.payload_bytes) for r in W.archive_pages(spark, spark.createDataFrame(rows, ROWS)).collect()}
+    assert out == {i: ("revisit", 0, 200) if 0 < i < 300 else ("response", None, 0 if 300 <= i < 700 else 200 if i == 0 else 5_000_000) for i, *_ in rows}
+
+
 def test_damaged_record_is_noticed():
     import hashlib
 
