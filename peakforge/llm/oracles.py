@@ -109,7 +109,7 @@ def url_sql() -> str:
     grams = ", ".join(f"substring(s, i - {j - 1}, {j})" for j in range(1, k + 1))
     return f"""WITH b AS (SELECT page_id, url, translate(coalesce(regexp_extract(url, {_text(HOST_PATH)}, 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, coalesce(regexp_extract(url, {_text(HOST_PATH)}, 2), '') AS path FROM pages),
  u AS (SELECT *, {rule} AS rule FROM b),
- lab AS (SELECT DISTINCT url, {verdict} = 'allow' AS accepted, ('0x' || substring(md5(url), 1, 8))::BIGINT % 4 AS fold FROM u WHERE rule IS NOT NULL AND length(url) <= {c.max_chars}),
+ lab AS (SELECT DISTINCT url, {verdict} = 'allow' AS accepted, ('0x' || substring(md5(url), 1, 8))::BIGINT % 4 AS fold FROM u WHERE rule IS NOT NULL),
  urls AS (SELECT url, s, unnest(range({k}, length(s) + 1)) AS i FROM (SELECT DISTINCT url, {padded} AS s FROM pages WHERE url IS NOT NULL)),
  cnt AS (SELECT g, count(*) FILTER (WHERE accepted) AS a, count(*) FILTER (WHERE NOT accepted) AS r FROM (SELECT accepted, unnest([{grams}]) AS g FROM urls JOIN lab USING (url) WHERE fold <> 0) GROUP BY g),
  ctx AS (SELECT substring(g, 1, length(g) - 1) AS h, sum(a)::DOUBLE AS ca, count(*) FILTER (WHERE a > 0) AS ta, sum(r)::DOUBLE AS cr, count(*) FILTER (WHERE r > 0) AS tr FROM cnt GROUP BY 1),
