@@ -6,12 +6,16 @@ recall's denominator counts.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.matching import greedy_cosine, modified_cosine
-from .joins import band_join
+from ..functions.matching import batch_match
 
 
 def recall_curve(results: DataFrame, value: str, groups=("fold", "method")) -> DataFrame:
@@ -104,22 +108,78 @@ def best_in_mass_window(pairs: DataFrame, score: str = "score", query: str = "qu
     return pairs.withColumn("__at", F.row_number().over(w)).filter("__at = 1").drop("__at")
 
 
+#: Queries whose peaks one scan of the library meets.
+BASELINE_QUERIES = 4096
+
+
 def peak_baseline(queries: DataFrame, library: DataFrame, mass_tolerance: float = 100.0, kind: str = "greedy", tolerance: float = 0.05, least: int = 0) -> DataFrame:
     """Best library spectrum of each query by greedy or modified cosine within a mass window.
 
     ``queries``: query_id, precursor_mz, peaks; ``library``: spectrum_id, precursor_mz, peaks. Matches of fewer than
-    ``least`` peaks don't count. Queries without a candidate give a row of nulls.
+    ``least`` peaks don't count. Queries without a candidate, or without precursor or peaks, give a row of nulls.
+
+    The library is dealt by range of its precursors once. A chunk of queries is broadcast; a task compares each of its
+    batches with the queries whose windows reach it and passes on the best of each, so no pair is ever shuffled.
     """
-    q = queries.select("query_id", F.col("precursor_mz").alias("q_mz"), F.col("peaks").alias("q_peaks"))
-    pairs = band_join(q, library.select("spectrum_id", "precursor_mz", "peaks"), "q_mz", "precursor_mz", mass_tolerance)
-    if kind == "greedy":
-        m = greedy_cosine(F.col("q_peaks"), F.col("peaks"), tolerance)
-    elif kind == "modified":
-        m = modified_cosine(F.col("q_peaks"), F.col("peaks"), F.col("q_mz"), F.col("precursor_mz"), tolerance)
-    else:
+    if kind not in ("greedy", "modified"):
         raise ValueError(f"greedy or modified: {kind!r}")
-    scored = pairs.withColumn("m", m).select("query_id", "spectrum_id", "m.score", "m.matches").filter(F.col("matches") >= least)
-    return queries.select("query_id").join(best_in_mass_window(scored), "query_id", "left")
+    spark = queries.sparkSession
+    lib = library.filter("precursor_mz is not null").select("spectrum_id", "precursor_mz", F.transform("peaks", lambda p: p["mz"]).alias("mz"), F.transform("peaks", lambda p: p["intensity"]).alias("intensity"))
+    lib = lib.repartitionByRange("precursor_mz").sortWithinPartitions("precursor_mz")
+    wanted = queries.filter("precursor_mz is not null and peaks is not null").select("query_id", "precursor_mz", "peaks")
+    found = [_scan(spark, lib, chunk, mass_tolerance, kind, tolerance, least) for chunk in _query_chunks(wanted)]
+    if not found:
+        found = [spark.createDataFrame([], "query_id long, spectrum_id long, score double, matches long")]
+    best = best_in_mass_window(reduce(DataFrame.unionAll, found))
+    return queries.select("query_id").join(best, "query_id", "left")
+
+
+def _query_chunks(wanted: DataFrame) -> Iterator[list[tuple]]:
+    """(precursor, id, peaks' m/z, intensities) of the queries, BASELINE_QUERIES at a time, by precursor."""
+    rows = []
+    for r in wanted.orderBy("precursor_mz", "query_id").toLocalIterator(prefetchPartitions=False):
+        rows.append((r["precursor_mz"], r["query_id"], np.array([p["mz"] for p in r["peaks"]], float), np.array([p["intensity"] for p in r["peaks"]], float)))
+        if len(rows) == BASELINE_QUERIES:
+            yield rows
+            rows = []
+    if rows:
+        yield rows
+
+
+def _scan(spark, lib: DataFrame, chunk: list[tuple], window: float, kind: str, tolerance: float, least: int) -> DataFrame:
+    shared = spark.sparkContext.broadcast(chunk)
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        queries = shared.value
+        masses = np.array([q[0] for q in queries])
+        for batch in batches:
+            ids, mass = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+            if not len(ids):
+                continue
+            held = [np.concatenate([np.empty(0), batch.column(i).flatten().to_numpy(zero_copy_only=False)]) for i in (2, 3)]
+            sizes = np.diff(batch.column(2).offsets.to_numpy())
+            at = np.concatenate([[0], np.cumsum(sizes)])
+            owner = np.repeat(np.arange(len(ids)), sizes)
+            order = np.lexsort((held[0], owner))
+            mz, intensity = (h[order] for h in held)
+            lo, hi = np.searchsorted(masses, [mass[0] - window * (1 + 1e-9), mass[-1] + window * (1 + 1e-9)])
+            rows = []
+            for q_mass, q_id, q_mz, q_int in queries[lo : hi + 1]:
+                near = np.flatnonzero(np.abs(q_mass - mass) <= window)
+                if not len(near):
+                    continue
+                a, z = near[0], near[-1] + 1  # masses are sorted
+                part = slice(at[a], at[z])
+                shift = q_mass - mass[a:z] if kind == "modified" else None
+                score, matches = batch_match((q_mz, q_int), mz[part], intensity[part], owner[part] - a, z - a, tolerance, shift)
+                ok = np.flatnonzero(matches >= least)
+                if len(ok):
+                    x = ok[np.lexsort((ids[a:z][ok], -score[ok]))[0]]
+                    rows.append((q_id, int(ids[a + x]), float(score[x]), int(matches[x])))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], ["query_id", "spectrum_id", "score", "matches"])
+
+    return lib.mapInArrow(best, "query_id long, spectrum_id long, score double, matches long")
 
 
 def rank_of_truth(candidates: DataFrame, truth: Column, missing: int = 2001, query: str = "query_id") -> DataFrame:

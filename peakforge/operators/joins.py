@@ -20,7 +20,8 @@ def band_join(left: DataFrame, right: DataFrame, left_value: str, right_value: s
     pairs = l.join(r, "__bin").filter(near).drop("__bin")
     if how == "inner":
         return pairs
-    unmatched = left.join(pairs.select(*left.columns).distinct(), left.columns, "left_anti")
+    # Whether a row has a partner depends on its value alone; a null value has none.
+    unmatched = left.join(pairs.select(left_value).distinct(), left_value, "left_anti").select(left.columns)
     return pairs.unionByName(unmatched, allowMissingColumns=True)
 
 
@@ -29,6 +30,16 @@ def ppm_window(mass: Column, ppm: float) -> tuple[Column, Column]:
     return mass - mass * ppm / 1e6, mass + mass * ppm / 1e6
 
 
+def adduct_windows(mass: Column, ppm: float, shift: float = 1.0078) -> Column:
+    """Array of struct(low, high): ppm windows about a mass, and about it with the mass of a hydrogen more or less."""
+    return F.array(*[F.struct(*[b.alias(n) for b, n in zip(ppm_window(mass + F.lit(d), ppm), ("low", "high"), strict=True)]) for d in (0.0, shift, -shift)])
+
+
+def open_interval(df: DataFrame, column: str, low: float, high: float) -> DataFrame:
+    """Rows with low < column < high; both bounds reach the file scan."""
+    return df.filter((F.col(column) > low) & (F.col(column) < high))
+
+
 def range_scan(df: DataFrame, column: str, low: float, high: float) -> DataFrame:
     """Rows with low <= column <= high; both bounds reach the file scan."""
     return df.filter(F.col(column).between(low, high))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 
 from ..functions.sets import jaccard_pairs
 from ..schema import CLASS_COLUMNS
-from .util import global_rank
+from .util import exists, global_rank, stable
 
 
 def structure_key(inchikey: Column) -> Column:
@@ -77,6 +77,10 @@ class Library:
 
     TABLES = ("spectra", "structures", "embeddings", "second_embeddings")
 
+    def computed(self) -> Library:
+        """The same library with its spectra and structures computed once, in the shared folder."""
+        return replace(self, spectra=stable(self.spectra, "spectra"), structures=stable(self.structures, "structures"))
+
     @classmethod
     def open(cls, spark: SparkSession, path: str, check: bool = True) -> Library:
         out = cls(*[spark.read.parquet(f"{path}/{t}") for t in cls.TABLES])
@@ -85,7 +89,11 @@ class Library:
         return out
 
     def save(self, path: str) -> None:
-        """Write the tables; none may exist. Spectra are sorted by precursor m/z within files, for range scans."""
+        """Write the tables; none may exist, which is checked before the first is written. Spectra are sorted by precursor
+        m/z within files, for range scans."""
+        there = [t for t in self.TABLES if exists(self.spectra.sparkSession, f"{path}/{t}")]
+        if there:
+            raise FileExistsError(f"{path} already holds {', '.join(there)}")
         self.spectra.sortWithinPartitions("precursor_mz").write.mode("errorifexists").parquet(f"{path}/spectra")
         for t in self.TABLES[1:]:
             getattr(self, t).write.mode("errorifexists").parquet(f"{path}/{t}")

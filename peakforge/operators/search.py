@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..config import SearchSettings
-from ..functions.vectors import cosine, mean_cosine_by_group, top_k_cosine
+from ..functions.vectors import cosine, top_k_and_means, top_k_cosine
 from ..schema import OUTPUT_CLASSES, output_columns
 from .joins import lookup_join
 from .library import Library
@@ -40,9 +40,9 @@ def candidates(queries: DataFrame, library: Library, k: int) -> DataFrame:
 
 def features(queries: DataFrame, library: Library, k: int) -> DataFrame:
     """Candidates with the model's features. ``queries``: query_id, precursor_mz, embedding, second_embedding."""
-    found = candidates(queries.select("query_id", "embedding"), library, k)
     lib = library.embeddings.join(library.spectra.select("spectrum_id", "inchikey14"), "spectrum_id")
-    means = mean_cosine_by_group(queries.select("query_id", "embedding"), lib, "inchikey14")
+    found, means = top_k_and_means(queries.select("query_id", "embedding"), lib, k, "inchikey14")
+    found = found.withColumnRenamed("score", "embedding_score")
     near = library.structures.select("inchikey14", F.explode("neighbours").alias("n")).select("inchikey14", F.col("n.inchikey14").alias("neighbour"), "n.tanimoto")
     around = neighbourhood_scores(means, near, found)
     own = queries.select("query_id", F.col("precursor_mz").alias("precursor_mz_query"), F.col("second_embedding").alias("__q"))

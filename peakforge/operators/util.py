@@ -2,18 +2,53 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
+import uuid
 from itertools import accumulate
 
-from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def stable(df: DataFrame) -> DataFrame:
-    """``df``, computed once: checkpointed where ``spark.checkpoint.dir`` is set, else kept on disk."""
-    if df.sparkSession.conf.get("spark.checkpoint.dir", None):
-        return df.checkpoint()
-    return df.persist(StorageLevel.DISK_ONLY)
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that all executors share, ``spark.checkpoint.dir``.
+
+    That is set here only where it is unset and everything runs in one process; on a cluster without it an error is raised.
+    """
+    path = spark.conf.get("spark.checkpoint.dir", None)
+    if not path:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        path = "file://" + tempfile.mkdtemp(prefix="peakforge-")
+        spark.conf.set("spark.checkpoint.dir", path)
+    return f"{path.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def stable(df: DataFrame, name: str = "stable") -> DataFrame:
+    """``df``, computed once: written to the shared folder and read again, so that it outlives executors."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a path exists, on whatever file system it is."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
+def files_of(spark: SparkSession, folder: str) -> list[str]:
+    """Names of the regular files of a folder, sorted, on whatever file system it is; folders in it are not entered."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    found = p.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(p)
+    return sorted(f.getPath().getName() for f in found if f.isFile())
+
+
+def is_folder(spark: SparkSession, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    return fs.exists(p) and fs.getFileStatus(p).isDirectory()
 
 
 def global_rank(df: DataFrame, *order: Column | str, column: str = "rank") -> DataFrame:

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from ..functions import peaks as P
 from ..operators import cleaning as C
-from .registry import ORACLES, PEAKS, flat, long, peaks, query, rounded, spectra, table
+from .registry import PEAKS, flat, long, peaks, query, rounded, spectra, table
 
 
 @query(f"WITH {PEAKS} SELECT spectrum_id, mz, intensity / max(intensity) OVER (PARTITION BY spectrum_id) AS intensity FROM pk")
@@ -147,22 +147,12 @@ def peak_words(spark, d):
 
 
 @query(
-    f"""WITH {PEAKS}, v AS (SELECT 'peak@' || vec_id::DECIMAL(12, 2)::VARCHAR AS word, unnest(embedding[1:8])::DOUBLE AS x, unnest(range(8)) AS dim FROM embeddings),
+    f"""WITH {PEAKS}, v AS (SELECT 'peak@' || vec_id::DECIMAL(12, 2)::VARCHAR AS word, unnest(embedding)::DOUBLE AS x, unnest(range(64)) AS dim FROM embeddings),
  w AS (SELECT spectrum_id, {_WORDS} AS word, intensity FROM pk) SELECT spectrum_id, dim::BIGINT AS dim, round(sum(intensity * x), 4) AS x FROM w JOIN v USING (word) GROUP BY spectrum_id, dim"""
 )
 def document_embedding(spark, d):
-    return _document_embedding(spark, d, 8)
-
-
-def _document_embedding(spark, d, dims):
     from ..operators.model import document_embedding as embed
 
     docs = peaks(spark, d).select("spectrum_id", P.peak_words(F.col("peaks")).alias("words"), F.transform("peaks", lambda p: p["intensity"]).alias("weights"))
-    vectors = table(spark, d, "embeddings").select(F.concat(F.lit("peak@"), F.col("vec_id").cast("decimal(12,2)").cast("string")).alias("word"), F.slice("embedding", 1, dims).cast("array<double>").alias("vector"))
+    vectors = table(spark, d, "embeddings").select(F.concat(F.lit("peak@"), F.col("vec_id").cast("decimal(12,2)").cast("string")).alias("word"), F.col("embedding").cast("array<double>").alias("vector"))
     return embed(docs, vectors, "spectrum_id").select("spectrum_id", F.posexplode("embedding").alias("dim", "x")).select("spectrum_id", long("dim").alias("dim"), rounded("x", 4).alias("x"))
-
-
-@query(ORACLES["document_embedding"].replace("embedding[1:8]", "embedding[1:64]").replace("range(8)", "range(64)"))
-def document_embedding_whole(spark, d):
-    """Over all 64 dimensions of the vectors."""
-    return _document_embedding(spark, d, 64)

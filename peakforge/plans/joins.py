@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from ..operators import evaluation as E
 from ..operators import joins as J
-from .registry import ORACLES, long, query, spectra, table
+from .registry import long, query, spectra, table
 
 
 @query("SELECT event_id, value FROM events WHERE value BETWEEN 100 AND 120")
@@ -12,63 +12,38 @@ def precursor_window(spark, d):
     return J.range_scan(table(spark, d, "events").select("event_id", "value"), "value", 100, 120)
 
 
-def _mass_pairs(spark, d, tolerance, whole=False):
+def _mass_pairs(spark, d, tolerance, apart=False):
+    """The stated query set, events with an id divisible by 50, against all events; ``apart``: a query does not match itself."""
     e = table(spark, d, "events").withColumn("k", F.get_json_object("props", "$.k").cast("long"))
     q = e.filter("event_id % 50 = 0").select(F.col("event_id").alias("query_id"), F.col("value").alias("q_mz"))
-    lib = (e if whole else e.filter("event_id % 50 <> 0")).select(F.col("event_id").alias("spectrum_id"), F.col("value").alias("mz"), "k")
-    return J.band_join(q, lib, "q_mz", "mz", tolerance)
+    lib = e.select(F.col("event_id").alias("spectrum_id"), F.col("value").alias("mz"), "k")
+    pairs = J.band_join(q, lib, "q_mz", "mz", tolerance)
+    return pairs.filter("query_id <> spectrum_id") if apart else pairs
 
 
-_MASS = "p AS (SELECT q.event_id AS query_id, l.event_id AS spectrum_id, q.value AS q_mz, l.value AS mz, (l.props->>'$.k')::BIGINT AS k FROM events q JOIN events l ON abs(q.value - l.value) <= {t} WHERE q.event_id % 50 = 0 AND l.event_id % 50 <> 0)"
+_MASS = "p AS (SELECT q.event_id AS query_id, l.event_id AS spectrum_id, q.value AS q_mz, l.value AS mz, (l.props->>'$.k')::BIGINT AS k FROM events q JOIN events l ON abs(q.value - l.value) <= {t} WHERE q.event_id % 50 = 0{apart})"
+_APART = " AND q.event_id <> l.event_id"
 
 
-@query(f"WITH {_MASS.format(t=0.25)} SELECT * FROM p")
+@query(f"WITH {_MASS.format(t=0.25, apart="")} SELECT * FROM p")
 def band_join(spark, d):
     return _mass_pairs(spark, d, 0.25)
 
 
-@query(f"WITH {_MASS.format(t=0.25)} SELECT query_id, spectrum_id, k FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY k DESC, spectrum_id) AS r FROM p) WHERE r = 1")
+@query(f"WITH {_MASS.format(t=0.25, apart=_APART)} SELECT query_id, spectrum_id, k FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY k DESC, spectrum_id) AS r FROM p) WHERE r = 1")
 def best_in_mass_window(spark, d):
-    return E.best_in_mass_window(_mass_pairs(spark, d, 0.25), "k").select("query_id", "spectrum_id", "k")
+    return E.best_in_mass_window(_mass_pairs(spark, d, 0.25, apart=True), "k").select("query_id", "spectrum_id", "k")
 
 
-@query(f"WITH {_MASS.format(t=0.5)} SELECT query_id, spectrum_id FROM p WHERE mz BETWEEN q_mz - q_mz * 200 / 1e6 AND q_mz + q_mz * 200 / 1e6")
+@query(f"WITH {_MASS.format(t=0.5, apart="")} SELECT query_id, spectrum_id FROM p WHERE mz BETWEEN q_mz - q_mz * 200 / 1e6 AND q_mz + q_mz * 200 / 1e6")
 def ppm_match(spark, d):
     low, high = J.ppm_window(F.col("q_mz"), 200)
     return _mass_pairs(spark, d, 0.5).filter(F.col("mz").between(low, high)).select("query_id", "spectrum_id")
 
 
-@query(f"WITH {_MASS.format(t=0.2)}, a AS (SELECT query_id, spectrum_id FROM p WHERE abs(q_mz - mz) <= 0.005) SELECT *, 1::BIGINT AS tier FROM a UNION ALL SELECT query_id, spectrum_id, 2 FROM p WHERE query_id NOT IN (SELECT query_id FROM a)")
+@query(f"WITH {_MASS.format(t=0.2, apart=_APART)}, a AS (SELECT query_id, spectrum_id FROM p WHERE abs(q_mz - mz) <= 0.005) SELECT *, 1::BIGINT AS tier FROM a UNION ALL SELECT query_id, spectrum_id, 2 FROM p WHERE query_id NOT IN (SELECT query_id FROM a)")
 def two_tier_match(spark, d):
-    near = [_mass_pairs(spark, d, t).select("query_id", "spectrum_id") for t in (0.005, 0.2)]
-    return J.first_tier(near, "query_id")
-
-
-def _whole(name, apart=False):
-    """The SQL of a query above with all rows on the searched side; ``apart``: a query does not match itself."""
-    return ORACLES[name].replace(" AND l.event_id % 50 <> 0", " AND q.event_id <> l.event_id" if apart else "")
-
-
-@query(_whole("band_join"))
-def band_join_whole(spark, d):
-    return _mass_pairs(spark, d, 0.25, whole=True)
-
-
-@query(_whole("best_in_mass_window", apart=True))
-def best_in_mass_window_whole(spark, d):
-    pairs = _mass_pairs(spark, d, 0.25, whole=True).filter("query_id <> spectrum_id")
-    return E.best_in_mass_window(pairs, "k").select("query_id", "spectrum_id", "k")
-
-
-@query(_whole("ppm_match"))
-def ppm_match_whole(spark, d):
-    low, high = J.ppm_window(F.col("q_mz"), 200)
-    return _mass_pairs(spark, d, 0.5, whole=True).filter(F.col("mz").between(low, high)).select("query_id", "spectrum_id")
-
-
-@query(_whole("two_tier_match", apart=True))
-def two_tier_match_whole(spark, d):
-    near = [_mass_pairs(spark, d, t, whole=True).filter("query_id <> spectrum_id").select("query_id", "spectrum_id") for t in (0.005, 0.2)]
+    near = [_mass_pairs(spark, d, t, apart=True).select("query_id", "spectrum_id") for t in (0.005, 0.2)]
     return J.first_tier(near, "query_id")
 
 

@@ -7,7 +7,7 @@ from ..operators import annotation as A
 from ..operators import library as L
 from ..sources.sinks import write_mgf
 from ..sources.text_formats import read_mgf
-from .registry import LIBRARY, ORACLES, library, long, query, scratch, spectra, table
+from .registry import LIBRARY, library, long, query, scratch, spectra, table
 
 
 @query("SELECT o_custkey AS structure, string_agg(o_orderkey::VARCHAR, ',' ORDER BY o_orderkey) AS ids FROM orders GROUP BY o_custkey")
@@ -64,16 +64,11 @@ def closest_structures(spark, d):
 
 
 @query(
-    """WITH fp AS (SELECT DISTINCT l_orderkey % 25 AS s, l_partkey % 997 AS b FROM lineitem), sz AS (SELECT s, count(*) AS n FROM fp GROUP BY s),
+    """WITH fp AS (SELECT DISTINCT l_suppkey AS s, l_partkey AS b FROM lineitem), sz AS (SELECT s, count(*) AS n FROM fp GROUP BY s),
  c AS (SELECT x.s AS a, y.s AS b, count(*) AS n FROM fp x JOIN fp y ON x.b = y.b GROUP BY x.s, y.s) SELECT a AS key_1, c.b AS key_2, c.n / (p.n + q.n - c.n) AS tanimoto FROM c JOIN sz p ON p.s = c.a JOIN sz q ON q.s = c.b"""
 )
 def tanimoto_sets(spark, d):
-    return L.tanimoto_pairs(table(spark, d, "lineitem").select((F.col("l_orderkey") % 25).alias("key"), (F.col("l_partkey") % 997).alias("item")), "key", "item")
-
-
-@query(ORACLES["tanimoto_sets"].replace("l_orderkey % 25 AS s, l_partkey % 997 AS b", "l_suppkey AS s, l_partkey AS b"))
-def tanimoto_sets_whole(spark, d):
-    """Every supplier against every other by the set of its parts, neither of them folded."""
+    """Every supplier against every other by the set of its parts."""
     return L.tanimoto_pairs(table(spark, d, "lineitem").select(F.col("l_suppkey").alias("key"), F.col("l_partkey").alias("item")), "key", "item")
 
 

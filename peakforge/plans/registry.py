@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.util import scratch  # noqa: F401
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -29,12 +29,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that all executors share; a local one only where no such folder is set."""
-    path = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.gettempdir()
-    return f"{path.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def long(c: Column | str) -> Column:
     return (F.col(c) if isinstance(c, str) else c).cast("long")
 
@@ -89,7 +83,7 @@ def library(spark: SparkSession, sf_dir: str):
     bits = emb.select(F.col("label").cast("string").alias("inchikey14"), (F.col("vec_id") * 7 % 97).alias("bit"))
     nation, region = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
     named = nation.join(region, nation["n_regionkey"] == region["r_regionkey"]).select(F.col("n_nationkey").cast("string").alias("inchikey14"), *[F.col("r_name" if i < 2 else "n_name").alias(c) for i, c in enumerate(CLASS_COLUMNS)])
-    return Library.build(rows, bits, own.select("spectrum_id", "embedding"), own.select("spectrum_id", F.slice("embedding", 1, 32).alias("embedding")), named, n=3)
+    return Library.build(rows, bits, own.select("spectrum_id", "embedding"), own.select("spectrum_id", F.slice("embedding", 1, 32).alias("embedding")), named, n=3).computed()
 
 
 def query_spectra(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -110,7 +104,7 @@ LIBRARY = """emb AS (SELECT vec_id AS spectrum_id, embedding::DOUBLE[] AS v, emb
  near AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY st ORDER BY t DESC, nb) AS r FROM tani) WHERE r <= 3),
  around AS (SELECT m.query_id, n.st, avg(m.m) AS am, avg(n.t) AS ta FROM near n JOIN means m ON m.st = n.nb GROUP BY m.query_id, n.st),
  feats AS (SELECT k.query_id, k.query_st, k.spectrum_id, k.st, k.s, k.s2, k.rk, a.am, a.ta, l.mz AS mz, q.mz AS qmz, abs(l.mz - q.mz) AS d, l.rt
-           FROM ranked k JOIN around a ON a.query_id = k.query_id AND a.st = k.st JOIN meta l ON l.spectrum_id = k.spectrum_id JOIN meta q ON q.spectrum_id = k.query_id WHERE k.rk <= 30),
+           FROM ranked k JOIN around a ON a.query_id = k.query_id AND a.st = k.st JOIN meta l ON l.spectrum_id = k.spectrum_id JOIN meta q ON q.spectrum_id = k.query_id WHERE k.rk <= 2000),
  pred AS (SELECT *, am * 0.5 + ta * 0.3 + s2 * 0.2 - least(d / 1000.0, 0.5) AS p FROM feats),
  best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY p DESC, s DESC, spectrum_id) AS rank FROM pred) WHERE rank <= 3 AND p > 0.2)"""
 

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from ..operators import splits as T
-from .registry import ORACLES, query, table
+from .registry import query, table
 
 
 def _orders(spark, d):
@@ -45,13 +45,8 @@ def kfold_exact(spark, d):
 _PICK = "('0x' || substring(md5(o_orderkey || '|42{0}'), 1, 8))::BIGINT"
 
 
-@query(f"SELECT o_orderkey AS query_id, {_PICK.format('a')} % 1000 AS spectrum_id, {_PICK.format('b')} / 4294967296.0::DOUBLE AS score FROM orders")
+@query(f"SELECT o_orderkey AS query_id, {_PICK.format('a')} % (SELECT count(*) FROM orders) AS spectrum_id, {_PICK.format('b')} / 4294967296.0::DOUBLE AS score FROM orders")
 def random_baseline(spark, d):
-    return T.random_pick(table(spark, d, "orders").select(F.col("o_orderkey").alias("query_id")), 1000)
-
-
-@query(ORACLES["random_baseline"].replace("% 1000 AS", "% (SELECT count(*) FROM orders) AS"))
-def random_baseline_whole(spark, d):
     """Picks among as many positions as there are spectra."""
     orders = table(spark, d, "orders").select(F.col("o_orderkey").alias("query_id"))
     return T.random_pick(orders, orders.count())
