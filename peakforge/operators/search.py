@@ -77,7 +77,8 @@ def export_results(ranked: DataFrame, library: Library, settings: SearchSettings
     out = out.join(numbers, "query_id") if numbers is not None else out.withColumn("query_spectrum_nr", F.col("query_id") + 1)
     names = {"model_prediction": "prediction", "precursor_mz_query_spectrum": "precursor_mz_query", "precursor_mz_analog": "precursor_mz_library", "analog_compound_name": "compound_name"}
     columns = [F.col(names.get(c, c)).alias(c) if names.get(c, c) in out.columns else F.lit(None).cast("string").alias(c) for c in output_columns(settings.metadata_columns, settings.score_columns, classes)]
-    return out.select(*columns, F.col("rank"))
+    more = [c for c in (numbers.columns if numbers is not None else []) if c not in ("query_id", "query_spectrum_nr")]
+    return out.select(*columns, F.col("rank"), *more)
 
 
 def formatted(results: DataFrame, decimals: int = 4) -> DataFrame:
@@ -85,11 +86,14 @@ def formatted(results: DataFrame, decimals: int = 4) -> DataFrame:
     return results.select(*[F.when(F.col(c).isNotNull(), F.format_string(f"%.{decimals}f", F.col(c))).alias(c) if t in ("double", "float") else F.col(c) for c, t in results.dtypes])
 
 
-def analog_search(queries: DataFrame, library: Library, settings: SearchSettings | None = None, model: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
-    """The whole search. ``model`` adds ``prediction`` to the feature table; without one ``linear_score`` does."""
+def analog_search(queries: DataFrame, library: Library, settings: SearchSettings | None = None, model: Callable[[DataFrame], DataFrame] | None = None, numbers: DataFrame | None = None) -> DataFrame:
+    """The whole search. ``model`` adds ``prediction`` to the feature table; without one ``linear_score`` does.
+
+    ``numbers``: (query_id, query_spectrum_nr, ...), of which further columns are added at the end.
+    """
     settings = settings or SearchSettings()
     if settings.filter_on_ion_mode and "ionmode" in queries.columns:
         queries = queries.filter(F.col("ionmode").isNull() | (F.col("ionmode") == settings.filter_on_ion_mode))
     found = features(queries, library, settings.preselection)
     scored = model(found) if model else found.withColumn("prediction", linear_score())
-    return export_results(rank_results(scored, settings.n_analogs, settings.min_score), library, settings)
+    return export_results(rank_results(scored, settings.n_analogs, settings.min_score), library, settings, numbers)

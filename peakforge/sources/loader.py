@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.vectors import packed
+from ..operators.util import files_of
 from ..schema import PROMOTED
 from .text_formats import read_gnps_json, read_mgf, read_msp
 from .xml_formats import read_mzml, read_mzxml
@@ -39,23 +40,28 @@ def load_spectra(spark: SparkSession, path: str) -> DataFrame:
     return promote(READERS[extension](spark, path))
 
 
-def files_in(folder: str) -> list[str]:
-    """Regular files of a folder, sorted by name; folders in it are not entered."""
-    return sorted(e.name for e in os.scandir(folder) if e.is_file())
+def files_in(spark: SparkSession, folder: str) -> list[str]:
+    """Regular files of a folder, sorted by name, on any file system that Spark reads; folders in it are not entered."""
+    return files_of(spark, folder)
 
 
-def load_folder(spark: SparkSession, folder: str, say: Callable[[str], None] = print) -> DataFrame | None:
-    """All spectrum files of a folder as one frame; other files are named and skipped; None if there is none."""
+def spectrum_files(spark: SparkSession, folder: str, say: Callable[[str], None] = print) -> list[str]:
+    """Names of the spectrum files of a folder; other files are named and skipped."""
     found = []
-    for name in files_in(folder):
+    for name in files_in(spark, folder):
         if os.path.splitext(name)[1].lower() in READERS:
-            found.append(load_spectra(spark, os.path.join(folder, name)))
+            found.append(name)
         else:
             say(f"skipped, not a spectrum file: {name}")
     if not found:
         say(f"no spectrum files in {folder}")
-        return None
-    return reduce(DataFrame.unionByName, found)
+    return found
+
+
+def load_folder(spark: SparkSession, folder: str, say: Callable[[str], None] = print) -> DataFrame | None:
+    """All spectrum files of a folder as one frame with ``source_file``; None if there is none."""
+    found = [load_spectra(spark, f"{folder.rstrip('/')}/{name}") for name in spectrum_files(spark, folder, say)]
+    return reduce(DataFrame.unionByName, found) if found else None
 
 
 @dataclass(frozen=True)

@@ -5,17 +5,19 @@ from __future__ import annotations
 import json
 import os
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.search import formatted
+from ..operators.util import exists, stable
 
 
-def free_name(path: str) -> str:
-    """``path``, or with (1), (2), ... before the extension if it exists."""
+def free_name(path: str, spark: SparkSession | None = None) -> str:
+    """``path``, or with (1), (2), ... before the extension if it exists; with ``spark`` on any file system it reads."""
+    there = (lambda p: exists(spark, p)) if spark else os.path.exists
     stem, extension = os.path.splitext(path)
     out, n = path, 0
-    while os.path.exists(out):
+    while there(out):
         n += 1
         out = f"{stem}({n}){extension}"
     return out
@@ -56,9 +58,21 @@ def write_mgf(spectra: DataFrame, path: str) -> None:
     mgf_records(spectra).write.mode("errorifexists").text(path)
 
 
-def write_by_file(results: DataFrame, path: str, column: str = "source_file") -> None:
-    """Results of several input files, a folder for each."""
-    formatted(results.withColumn(column, F.regexp_extract(column, r"([^/]+)$", 1))).write.mode("errorifexists").partitionBy(column).csv(path, header=True)
+def file_name(column: str = "source_file") -> Column:
+    """The last part of a path."""
+    return F.regexp_extract(column, r"([^/]+)/*$", 1)
+
+
+def write_by_file(results: DataFrame, folder: str, files: list[str], column: str = "source_file") -> list[str]:
+    """Results of several input files, a CSV for each of ``files``, also for one without results: ``name.csv``, or with a
+    number if that exists. Returns the paths."""
+    spark = results.sparkSession
+    named = stable(results.withColumn(column, file_name(column)), "results")
+    out = []
+    for name in files:
+        out.append(free_name(f"{folder.rstrip('/')}/{os.path.splitext(name)[0]}.csv", spark))
+        write_results(named.filter(F.col(column) == name).drop(column), out[-1], single=True)
+    return out
 
 
 def write_classes(classes: DataFrame, path: str) -> None:

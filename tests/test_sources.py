@@ -68,6 +68,46 @@ def test_msp(spark, tmp_path):
     assert [[(p.mz, p.intensity) for p in r.peaks] for r in rows] == [[(10.0, 1.0), (20.0, 2.0)], [(5.5, 9.0)]]
 
 
+@pytest.mark.parametrize("size", ["4k", "128m"])
+def test_msp_with_carriage_returns(spark, tmp_path, size):
+    """CR LF, records without an empty line between, ``;`` in metadata; records over file blocks keep their order."""
+    text = "".join(f"Name: n{i}\r\nComment: a;1 b; 2\r\nNum Peaks: 2\r\n10 {i}; 20 2\r\n" + ("\r\n" if i % 2 else "") for i in range(300))
+    (tmp_path / "a.msp").write_bytes(text.encode())
+    (tmp_path / "b.msp").write_text("\n\nNAME: x\n1 1\n")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+    try:
+        rows = read_msp(spark, str(tmp_path)).collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    a = sorted((r.record_no, r.metadata["compound_name"], r.metadata["comment"], [tuple(p) for p in r.peaks]) for r in rows if r.source_file.endswith("a.msp"))
+    assert a == [(i, f"n{i}", "a;1 b; 2", [(10.0, float(i)), (20.0, 2.0)]) for i in range(300)]
+    assert [(r.record_no, r.metadata["compound_name"]) for r in rows if r.source_file.endswith("b.msp")] == [(0, "x")]
+
+
+def test_msp_over_parts_of_lines(spark, tmp_path, monkeypatch):
+    from peakforge.sources import text_formats
+
+    monkeypatch.setattr(text_formats, "PART_LINES", 5)
+    (tmp_path / "a.msp").write_text("".join(f"Comment: first\nName: n{i}\n" + "".join(f"{j} 1\n" for j in range(1, i % 7 + 2)) + "\n" * (1 + i % 3) for i in range(60)))
+    rows = sorted((r.record_no, r.metadata.get("compound_name"), len(r.peaks)) for r in read_msp(spark, str(tmp_path / "a.msp")).collect())
+    assert [n for _, n, _ in rows if n] == [f"n{i}" for i in range(60)] and [k for _, n, k in rows if n] == [i % 7 + 1 for i in range(60)]
+
+
+def test_large_json_is_cut_into_records(spark, tmp_path):
+    records = [{"spectrum_id": f"S{i}", "peaks_json": f"[[{i + 1}, 1], [1, 3]]", "note": 'a "quoted" brace { and ] [', "more": {"x": i}} for i in range(400)]
+    (tmp_path / "a.json").write_text(json.dumps(records, indent=1))
+    (tmp_path / "b.json").write_text("[]")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4k")
+    try:
+        rows = sorted(read_gnps_json(spark, str(tmp_path)).collect(), key=lambda r: r.record_no)
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert [(r.record_no, r.metadata["spectrum_id"], r.metadata["note"], len(r.peaks)) for r in rows] == [(i, f"S{i}", records[i]["note"], 2) for i in range(400)]
+    (tmp_path / "c.json").write_text('[{"a": "x"}, {"b": "broken')
+    with pytest.raises(Exception):  # noqa: B017
+        read_gnps_json(spark, str(tmp_path / "c.json")).collect()
+
+
 def test_gnps_json(spark, tmp_path):
     path = tmp_path / "a.json"
     path.write_text(json.dumps([{"Precursor_MZ": 5.5, "peaks_json": "[[2, 1], [1, 3]]"}, {"inchi_key": "K"}]))
@@ -168,5 +208,18 @@ def test_command_line(spark, mgf, tmp_path):
     assert cli.run(spark, ["--library", f"{tmp_path}/lib"]) is None
     with pytest.raises(ValueError):
         cli.run(spark, [*args[:4], "--ionmode", "negative"])
+    # A folder: one result for each spectrum file, numbered from 1 in each.
+    one = "BEGIN IONS\nPEPMASS=300\nIONMODE=Positive\n1 1\n2 2\n3 3\nEND IONS\n"
+    (mgf.parent / "b.mgf").write_text("BEGIN IONS\nPEPMASS=300\n1 1\nEND IONS\n" + one)
+    (mgf.parent / "notes.txt").write_text("x")
+    vectors = [(i, [2.0, 1.0], [2.0, 1.0]) for i in range(3)]
+    spark.createDataFrame(vectors, "query_id long, embedding array<float>, second_embedding array<float>").write.parquet(f"{tmp_path}/vectors")
+    found = cli.run(spark, ["--spectra", str(mgf.parent), "--library", f"{tmp_path}/lib", "--embeddings", f"{tmp_path}/vectors", "--results", str(tmp_path / "all")])
+    assert sorted(p.name for p in (tmp_path / "all").iterdir()) == ["a.csv", "b.csv"]
+    assert [[r.query_spectrum_nr for r in spark.read.csv(f"{found}/{n}.csv", header=True).collect()] for n in "ab"] == [["1"], ["2"]]
+    words = spark.createDataFrame([(f"peak@{m}.00", [float(m), 1.0]) for m in (1, 2, 3)], "word string, vector array<double>")
+    words.write.parquet(f"{tmp_path}/words")
+    more = cli.run(spark, [*args, "--word_vectors", f"{tmp_path}/words"])
+    assert spark.read.csv(more, header=True).count() == 1
     with pytest.raises(SystemExit):
         cli.parser().parse_args(["--spectra", "/nowhere"])
