@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.matching import batch_match
+from .joins import open_interval
 
 
 def recall_curve(results: DataFrame, value: str, groups=("fold", "method")) -> DataFrame:
@@ -102,6 +103,31 @@ def optimal_matches(tests: DataFrame, tanimoto: DataFrame, query: str = "query_i
     return tests.join(best, "key", "left").select(query, F.col("tanimoto").alias("score"), "tanimoto", (F.col("key") == F.col("best")).alias("exact"))
 
 
+def optimal_other(tanimoto: DataFrame, tests: DataFrame, key: str = "key") -> DataFrame:
+    """(key, tanimoto): for each test structure the largest Tanimoto score with a structure that is no test structure itself."""
+    others = tanimoto.join(tests.select(F.col(key).alias("key_2")).distinct(), "key_2", "left_anti")
+    return others.join(tests.select(F.col(key).alias("key_1")).distinct(), "key_1", "left_semi").groupBy(F.col("key_1").alias(key)).agg(F.max("tanimoto").alias("tanimoto"))
+
+
+def best_above(pairs: DataFrame, minimum: float, score: str = "score", query: str = "query_id", other: str = "spectrum_id") -> DataFrame:
+    """Per query the candidates with a score of ``minimum`` or more, by falling score, and the best of them; queries without any
+    are absent: (query, other, score, n_candidates)."""
+    good = pairs.filter(F.col(score) >= minimum)
+    best = F.max(F.struct(F.col(score).alias("s"), (-F.col(other)).alias("o")))
+    out = good.groupBy(query).agg(best.alias("b"), F.count(F.lit(1)).alias("n_candidates"))
+    return out.select(query, (-F.col("b.o")).alias(other), F.col("b.s").alias(score), "n_candidates")
+
+
+def best_of_similar_mass(pairs: DataFrame, similarity: Column, minimum: float = 0.8**10, score: str = "score", query: str = "query_id", other: str = "spectrum_id") -> DataFrame:
+    """The best row of each query among those whose mass similarity is above ``minimum`` (strictly)."""
+    return best_in_mass_window(pairs.filter(similarity > minimum), score, query, other)
+
+
+def mass_range_distribution(df: DataFrame, mass: str, low: float, high: float, value: Column, bins: int = 10) -> DataFrame:
+    """Histogram of ``value`` over rows with low < mass < high: (bin, n, percent)."""
+    return fixed_histogram(open_interval(df, mass, low, high), value, bins)
+
+
 def best_in_mass_window(pairs: DataFrame, score: str = "score", query: str = "query_id", other: str = "spectrum_id") -> DataFrame:
     """The best row of each query, ties by the other id."""
     w = Window.partitionBy(query).orderBy(F.desc(score), other)

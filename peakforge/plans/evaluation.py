@@ -90,3 +90,15 @@ def match_results(spark, d):
     n = s.agg(F.count(F.lit(1)).alias("n"))
     found = s.filter(key % 3 != 0).join(F.broadcast(n)).select(key.alias("query_id"), F.col("s_acctbal").alias("score"), F.when(key % 4 == 0, key).otherwise((key * 7) % F.col("n")).alias("key_found"))
     return E.match_results(s.select(key.alias("query_id"), key.alias("key")), found, _tanimoto(spark, d))
+
+
+@query("SELECT least(floor(k / 100 * 10), 9)::BIGINT AS bin, count(*) AS n, count(*) * 100.0::DOUBLE / sum(count(*)) OVER () AS percent FROM (SELECT value, (props->>'$.k')::BIGINT AS k FROM events) WHERE value > 100 AND value < 300 GROUP BY 1")
+def mass_range_distribution(spark, d):
+    e = table(spark, d, "events").select("value", F.get_json_object("props", "$.k").cast("long").alias("k"))
+    return E.mass_range_distribution(e, "value", 100, 300, F.col("k") / 100)
+
+
+@query(f"WITH {_TANI} SELECT key_1 AS key, max(tanimoto) AS tanimoto FROM t WHERE key_1 % 10 = 0 AND key_2 % 10 <> 0 GROUP BY key_1")
+def optimal_other_structure(spark, d):
+    tests = table(spark, d, "supplier").filter("s_suppkey % 10 = 0").select(F.col("s_suppkey").alias("key"))
+    return E.optimal_other(_tanimoto(spark, d), tests)

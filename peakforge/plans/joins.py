@@ -47,6 +47,41 @@ def two_tier_match(spark, d):
     return J.first_tier(near, "query_id")
 
 
+@query(f"WITH {_MASS.format(t=1.2, apart=_APART)} SELECT query_id, spectrum_id, w::BIGINT AS shift FROM p, range(3) r(w), (SELECT [0.0, 1.0078, -1.0078]::DOUBLE[] AS ds) WHERE mz BETWEEN (q_mz + ds[w + 1]) - (q_mz + ds[w + 1]) * 50 / 1e6 AND (q_mz + ds[w + 1]) + (q_mz + ds[w + 1]) * 50 / 1e6")
+def adduct_match(spark, d):
+    """Masses within 50 ppm of the query's, or of it with a hydrogen more or less."""
+    pairs = _mass_pairs(spark, d, 1.2, apart=True).select("query_id", "spectrum_id", "mz", F.posexplode(J.adduct_windows(F.col("q_mz"), 50)).alias("shift", "w"))
+    return pairs.filter(F.col("mz").between(F.col("w.low"), F.col("w.high"))).select("query_id", "spectrum_id", long("shift").alias("shift"))
+
+
+@query(f"WITH {_MASS.format(t=0.25, apart=_APART)} SELECT query_id, arg_max(spectrum_id, (k, -spectrum_id)) AS spectrum_id, max(k) AS k, count(*) AS n_candidates FROM p WHERE k >= 70 GROUP BY query_id")
+def best_above(spark, d):
+    return E.best_above(_mass_pairs(spark, d, 0.25, apart=True), 70, "k").select("query_id", "spectrum_id", "k", "n_candidates")
+
+
+@query(f"WITH {_MASS.format(t=0.25, apart=_APART)} SELECT query_id, spectrum_id, k FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY k DESC, spectrum_id) AS r FROM p WHERE pow(0.8, abs(q_mz - mz) / 0.05) > pow(0.8, 2.5)) WHERE r = 1")
+def best_of_similar_mass(spark, d):
+    from ..operators.suites import mass_similarity
+
+    near = mass_similarity(F.col("q_mz"), F.col("mz"), scale=0.05)
+    return E.best_of_similar_mass(_mass_pairs(spark, d, 0.25, apart=True), near, 0.8**2.5, "k").select("query_id", "spectrum_id", "k")
+
+
+@query("SELECT event_id, value FROM events WHERE value > 100 AND value < 120.01")
+def open_interval(spark, d):
+    return J.open_interval(table(spark, d, "events").select("event_id", "value"), "value", 100, 120.01)
+
+
+@query("""SELECT 'both' AS side, o.o_orderkey AS l, c.c_custkey AS r FROM orders o JOIN customer c ON abs(o.o_totalprice - c.c_acctbal) <= 0.05 UNION ALL
+ SELECT 'left', o.o_orderkey, NULL FROM orders o WHERE NOT EXISTS (SELECT 1 FROM customer c WHERE abs(o.o_totalprice - c.c_acctbal) <= 0.05)""")
+def band_join_left(spark, d):
+    """Rows without a partner stay."""
+    o = table(spark, d, "orders").select(F.col("o_orderkey").alias("l"), "o_totalprice", F.lit(None).cast("string").alias("note"))
+    c = table(spark, d, "customer").select(F.col("c_custkey").alias("r"), "c_acctbal")
+    out = J.band_join(o, c, "o_totalprice", "c_acctbal", 0.05, "left")
+    return out.select(F.when(F.col("r").isNull(), "left").otherwise("both").alias("side"), "l", "r")
+
+
 @query("SELECT o_orderkey, o_custkey, CASE WHEN c_nationkey IS NULL THEN 'anti' ELSE 'semi' END AS part FROM orders LEFT JOIN (SELECT c_custkey, c_nationkey FROM customer WHERE c_nationkey < 5) ON o_custkey = c_custkey")
 def semi_anti_split(spark, d):
     keys = table(spark, d, "customer").filter("c_nationkey < 5").select(F.col("c_custkey").alias("o_custkey"))
@@ -62,11 +97,11 @@ def lookup_metadata(spark, d):
     return J.lookup_join(out, regions, "n_regionkey").select("id", "name", "nation", "region")
 
 
-@query("SELECT round(c_acctbal, 0) AS mass, c_nationkey::BIGINT AS nation, c_custkey, s_suppkey FROM customer JOIN supplier ON round(c_acctbal, 0) = round(s_acctbal, 0) AND c_nationkey = s_nationkey")
+@query("SELECT round(c_acctbal / 100, 0) AS mass, c_nationkey::BIGINT AS nation, c_custkey, s_suppkey FROM customer JOIN supplier ON round(c_acctbal / 100, 0) = round(s_acctbal / 100, 0) AND c_nationkey = s_nationkey")
 def rounded_natural_join(spark, d):
-    c = table(spark, d, "customer").select(F.col("c_acctbal").alias("mass"), long("c_nationkey").alias("nation"), "c_custkey")
-    s = table(spark, d, "supplier").select(F.col("s_acctbal").alias("mass"), long("s_nationkey").alias("nation"), "s_suppkey")
-    return J.rounded_join(c.withColumn("mass", F.round("mass", 0)), s.withColumn("mass", F.round("mass", 0)), ["mass", "nation"], 0)
+    c = table(spark, d, "customer").select((F.col("c_acctbal") / 100).alias("mass"), long("c_nationkey").alias("nation"), "c_custkey")
+    s = table(spark, d, "supplier").select((F.col("s_acctbal") / 100).alias("mass"), long("s_nationkey").alias("nation"), "s_suppkey")
+    return J.rounded_join(c, s, ["mass", "nation"], 0)
 
 
 @query("SELECT c_custkey AS key FROM customer EXCEPT SELECT o_custkey FROM orders WHERE o_orderstatus = 'P'")

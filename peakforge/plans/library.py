@@ -6,7 +6,7 @@ from ..functions.sets import bit_jaccard, bit_words
 from ..operators import annotation as A
 from ..operators import library as L
 from ..sources.sinks import write_mgf
-from ..sources.text_formats import read_mgf
+from ..sources.text_formats import read_gnps_json, read_mgf, read_msp
 from .registry import LIBRARY, library, long, query, scratch, spectra, table
 
 
@@ -16,9 +16,11 @@ def ids_per_structure(spark, d):
     return L.ids_per_structure(o, "structure").select("structure", F.array_join(F.transform("spectrum_ids", lambda x: x.cast("string")), ",").alias("ids"))
 
 
-@query("SELECT DISTINCT substring(c_name, 1, 14) AS key FROM customer")
+@query("SELECT DISTINCT substring(replace(c_name, 'Customer#', ''), 1, 14) || '-' || c_nationkey AS key FROM customer WHERE c_custkey % 3 <> 0")
 def distinct_structures(spark, d):
-    return L.distinct_structures(table(spark, d, "customer").select(L.structure_key(F.col("c_name")).alias("key")), "key")
+    """Keys of 14 characters that many rows share in part, with rows that have none."""
+    c = table(spark, d, "customer").select(F.when(F.col("c_custkey") % 3 != 0, F.concat(L.structure_key(F.replace("c_name", F.lit("Customer#"), F.lit(""))), F.lit("-"), "c_nationkey")).alias("key"))
+    return L.distinct_structures(c, "key")
 
 
 @query("SELECT row_number() OVER (ORDER BY o_totalprice, o_orderkey) - 1 AS spectrum_id, o_orderkey FROM orders")
@@ -118,3 +120,34 @@ def mgf_roundtrip(spark, d):
     write_mgf(spectra(spark, d).select("peaks", F.create_map(F.lit("scans"), F.col("spectrum_id").cast("string"), F.lit("pepmass"), F.col("precursor_mz").cast("string"), F.lit("name"), F.lit("a=b")).alias("metadata")), path)
     back = read_mgf(spark, path)
     return back.select(long(F.col("metadata")["scans"]).alias("spectrum_id"), long(F.size("peaks")).alias("n_peaks"), F.col("peaks")[0]["mz"].alias("first_mz"), F.aggregate("peaks", F.lit(0.0), lambda s, p: s + p["intensity"]).cast("long").alias("total"))
+
+
+_SPECTRA_BACK = "SELECT l_orderkey AS spectrum_id, count(*) AS n_peaks, min((l_partkey % 1200)::DOUBLE) AS first_mz, sum(l_quantity)::BIGINT AS total FROM lineitem GROUP BY l_orderkey"
+
+
+def _summary(back):
+    first, total = F.col("peaks")[0]["mz"], F.aggregate("peaks", F.lit(0.0), lambda s, p: s + p["intensity"]).cast("long")
+    return back.select(long(F.col("metadata")["scans"]).alias("spectrum_id"), long(F.size("peaks")).alias("n_peaks"), first.alias("first_mz"), total.alias("total"))
+
+
+@query(_SPECTRA_BACK)
+def read_msp_files(spark, d):
+    """All spectra from MSP text with CR LF, half of the records without an empty line after them."""
+    path = scratch(spark, "msp")
+    lines = F.transform("peaks", lambda p: F.concat_ws(" ", p["mz"].cast("string"), p["intensity"].cast("string")))
+    head = F.array(F.lit("Name: a:b; 1"), F.concat(F.lit("Scans: "), F.col("spectrum_id").cast("string")), F.concat(F.lit("Num Peaks: "), F.size("peaks").cast("string")))
+    end = F.when(F.col("spectrum_id") % 2 == 0, F.lit("\r\n")).otherwise(F.lit("\r"))
+    spectra(spark, d).select(F.concat(F.array_join(F.concat(head, lines), "\r\n"), end).alias("value")).write.text(path)
+    return _summary(read_msp(spark, path))
+
+
+@query(_SPECTRA_BACK)
+def read_gnps_json_files(spark, d):
+    """All spectra from files that hold arrays of objects."""
+    path = scratch(spark, "json")
+    pairs = F.to_json(F.transform("peaks", lambda p: F.array(p["mz"], p["intensity"])))
+    record = F.to_json(F.struct(F.col("spectrum_id").cast("string").alias("scans"), pairs.alias("peaks_json"), F.lit('a "b" { ] c').alias("note")))
+    rows = spectra(spark, d).select(F.floor(F.col("spectrum_id") / 5000).alias("file"), record.alias("r"))
+    files = rows.groupBy("file").agg(F.array_join(F.collect_list("r"), ",\n").alias("r")).select(F.concat(F.lit("["), "r", F.lit("]")).alias("value"))
+    files.repartition(8).write.option("maxRecordsPerFile", 1).text(path)  # a test's files of 5000 records each
+    return _summary(read_gnps_json(spark, path))

@@ -14,7 +14,7 @@ def test_equals_sql(spark, name):
     check(spark, QUERIES[name], ORACLES[name])
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES) - {"forest_rerank"}))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
 def test_runs(spark, name):
     assert QUERIES[name](spark, str(DATA)).count() > 0
 
