@@ -67,7 +67,7 @@ def _matrix(column: pa.Array, dim: int) -> np.ndarray:
     return _unit(out)
 
 
-def _local_best(s: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+def local_best(s: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """(query, column) of each query's k best scores, ties by id; missing scores are -inf."""
     if s.shape[1] > k:
         least = -np.partition(-s, k - 1, axis=1)[:, k - 1 : k]
@@ -113,7 +113,7 @@ def _scored(queries: DataFrame, library: DataFrame, k: int | None, group: str |
                     ok = ~np.isnan(s)
                     if k is not None:
                         s = np.where(ok, s, -np.inf)
-                        at, take = _local_best(s, own, k)
+                        at, take = local_best(s, own, k)
                         score = s[at, take]
                         empty = [pa.nulls(len(at), t) for t in (code.dictionary.type if group else pa.string(), pa.float64(), pa.int64())]
                         best = [batch.column(i).take(pa.array(take)) for i in range(len(fields))]

@@ -17,14 +17,13 @@ from pyspark.sql.window import Window
 
 from ..functions.matching import batch_match
 from .joins import open_interval
+from .util import running
 
 
 def recall_curve(results: DataFrame, value: str, groups=("fold", "method")) -> DataFrame:
     """Adds rank, total, recall (rank / total * 100) and running: the mean of ``value`` over the best ``rank`` rows."""
-    by = Window.partitionBy(*groups).orderBy(F.desc("score"), "query_id").rowsBetween(Window.unboundedPreceding, 0)
-    order = Window.partitionBy(*groups).orderBy(F.desc("score"), "query_id")
     totals = results.groupBy(*groups).agg(F.count(F.lit(1)).alias("total"))
-    ranked = results.filter(F.col("score").isNotNull()).withColumns({"rank": F.row_number().over(order).cast("long"), "running_sum": F.sum(value).over(by)})
+    ranked = running(results.filter(F.col("score").isNotNull()), list(groups), [F.desc("score"), "query_id"], value)
     out = ranked.join(totals, list(groups))
     return out.withColumn("running", F.col("running_sum") / F.col("rank")).withColumn("recall", F.col("rank") * 100.0 / F.col("total")).drop("running_sum")
 
@@ -45,8 +44,7 @@ def mean_and_deviation(binned: DataFrame, value: str = "mean", by=("method", "bi
 def threshold_for_recall(results: DataFrame, recall: float, groups=("method",), grid: int = 10_000) -> DataFrame:
     """The least t = k / grid at which at most ``recall`` of all rows score above t: (groups, k, threshold)."""
     totals = results.groupBy(*groups).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("score") > 0).alias("positive"))
-    order = Window.partitionBy(*groups).orderBy(F.desc("score"), "query_id")
-    ranked = results.filter(F.col("score").isNotNull()).withColumn("rank", F.row_number().over(order)).join(totals, list(groups))
+    ranked = running(results.filter(F.col("score").isNotNull()), list(groups), [F.desc("score"), "query_id"]).join(totals, list(groups))
     allowed = F.floor(F.col("n") * F.lit(recall))
     next_best = ranked.filter(F.col("rank") == allowed + 1).select(*groups, F.ceil(F.round(F.col("score") * grid, 6)).cast("long").alias("k"))
     out = totals.join(next_best, list(groups), "left")

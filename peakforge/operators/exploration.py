@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -35,8 +36,19 @@ def value_counts(df: DataFrame, column: str) -> DataFrame:
 
 
 def quantiles(df: DataFrame, column: str, at: list[float]) -> DataFrame:
-    """Exact quantiles with linear interpolation: one row with columns q0, q1, ..."""
-    return df.agg(*[F.percentile(column, F.lit(q)).alias(f"q{i}") for i, q in enumerate(at)])
+    """Exact quantiles with linear interpolation: one row with columns q0, q1, ... Nulls don't count; null if no row does.
+
+    Positions come from a range partitioning, so that no task holds all values.
+    """
+    ranked = global_rank(df.filter(F.col(column).isNotNull()).select(column), column)
+    n = ranked.count()
+    out = []
+    for i, q in enumerate(at):
+        place = (n - 1) * q
+        low = math.floor(place)
+        a, b = (F.max(F.when(F.col("rank") == min(low + d, n - 1) + 1, F.col(column))) for d in (0, 1))
+        out.append(((F.lit(low + 1.0) - place) * a + (F.lit(place) - low) * b).alias(f"q{i}"))
+    return ranked.agg(*out)
 
 
 def correlations(df: DataFrame, columns: list[str]) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.sets import jaccard_pairs
+from ..functions.sets import fingerprint_words, jaccard_pairs, nearest_by_bits
 from ..schema import CLASS_COLUMNS
 from .util import exists, global_rank, stable
 
@@ -112,5 +112,6 @@ class Library:
     @classmethod
     def build(cls, spectra: DataFrame, fingerprints: DataFrame, embeddings: DataFrame, second: DataFrame, classes: DataFrame | None = None, n: int = 10) -> Library:
         """``fingerprints``: rows (inchikey14, bit). Structures get their n nearest by Tanimoto, themselves included."""
-        near = nearest_structures(tanimoto_pairs(fingerprints, "inchikey14", "bit"), n)
+        words = stable(fingerprint_words(fingerprints, "inchikey14", "bit"), "fingerprints")
+        near = nearest_by_bits(words, words, n, "inchikey14")
         return cls(spectra, structures_table(spectra, near, classes), embeddings, second)

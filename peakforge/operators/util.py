@@ -9,6 +9,7 @@ from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 
 def scratch(spark: SparkSession, name: str) -> str:
@@ -64,6 +65,28 @@ def global_rank(df: DataFrame, *order: Column | str, column: str = "rank") -> Da
     return dealt.withColumn(column, (offset[F.col("__rank_part")] + F.col("__rank_at") + 1).cast("long")).drop("__rank_part", "__rank_at")
 
 
+def running(df: DataFrame, groups: list[str], order: list[Column | str], value: str | None = None) -> DataFrame:
+    """Add ``rank``, the 1-based position of each row in its group, and with ``value`` ``running_sum`` over the rows up to it.
+
+    Rows are dealt by range of groups and order, so that a large group spreads over tasks; sums per range and group, of which
+    there are few, give what lies before each range.
+    """
+    dealt = stable(df.repartitionByRange(*groups, *order).withColumn("__part", F.spark_partition_id()), "running")
+    sums = [F.count(F.lit(1)).alias("__n"), *([F.sum(value).alias("__s")] if value else [])]
+    before = Window.partitionBy(*groups).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = dealt.groupBy(*groups, "__part").agg(*sums)
+    parts = parts.select(*[F.col(g).alias(f"__g{i}") for i, g in enumerate(groups)], F.col("__part").alias("__p"), *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"{c}0") for c in ("__n", "__s")[: 2 if value else 1]])
+    on = F.col("__part") == F.col("__p")
+    for i, g in enumerate(groups):
+        on = on & F.col(g).eqNullSafe(F.col(f"__g{i}"))
+    within = Window.partitionBy(*groups, "__part").orderBy(*order)
+    out = dealt.join(parts, on).withColumn("rank", (F.col("__n0") + F.row_number().over(within)).cast("long"))
+    if value:
+        up_to = within.rowsBetween(Window.unboundedPreceding, 0)
+        out = out.withColumn("running_sum", F.col("__s0") + F.coalesce(F.sum(value).over(up_to), F.lit(0)))
+    return out.drop("__part", "__p", "__n0", "__s0", *[f"__g{i}" for i in range(len(groups))])
+
+
 def seeded(key: Column, seed: str | int) -> Column:
     """MD5 of the key and a seed: a random order that is the same in every run, partitioning and engine."""
     return F.md5(F.concat(key.cast("string"), F.lit(f"|{seed}")))

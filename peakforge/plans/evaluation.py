@@ -2,8 +2,9 @@
 
 from pyspark.sql import functions as F
 
+from ..functions.sets import bit_jaccard, nearest_by_bits
 from ..operators import evaluation as E
-from .library import _TANI, _tanimoto
+from .library import _TANI, _fingerprints
 from .registry import RESULTS, query, results, rounded, table
 
 _CURVE = f"""{RESULTS}, tot AS (SELECT fold, method, count(*) AS total FROM res GROUP BY fold, method),
@@ -77,7 +78,8 @@ def mass_binned(spark, d):
 def optimal_baseline(spark, d):
     """Even suppliers are test structures, odd ones the training structures."""
     tests = table(spark, d, "supplier").select(F.col("s_suppkey").alias("query_id"), F.col("s_suppkey").alias("key"))
-    return E.optimal_matches(tests, _tanimoto(spark, d).filter("key_1 % 2 = 0 and key_2 % 2 = 1"))
+    f = _fingerprints(spark, d)
+    return E.optimal_matches(tests, nearest_by_bits(f.filter("key % 2 = 0"), f.filter("key % 2 = 1"), 1))
 
 
 @query(
@@ -89,7 +91,10 @@ def match_results(spark, d):
     key = F.col("s_suppkey")
     n = s.agg(F.count(F.lit(1)).alias("n"))
     found = s.filter(key % 3 != 0).join(F.broadcast(n)).select(key.alias("query_id"), F.col("s_acctbal").alias("score"), F.when(key % 4 == 0, key).otherwise((key * 7) % F.col("n")).alias("key_found"))
-    return E.match_results(s.select(key.alias("query_id"), key.alias("key")), found, _tanimoto(spark, d))
+    tests, f = s.select(key.alias("query_id"), key.alias("key")), _fingerprints(spark, d)
+    wanted = tests.join(found, "query_id").select(F.col("key").alias("key_1"), F.col("key_found").alias("key_2")).distinct()
+    pairs = wanted.join(f.toDF("key_1", "x"), "key_1").join(f.toDF("key_2", "y"), "key_2")  # the wanted pairs only
+    return E.match_results(tests, found, pairs.select("key_1", "key_2", bit_jaccard(F.col("x"), F.col("y"), 1).alias("tanimoto")))
 
 
 @query("SELECT least(floor(k / 100 * 10), 9)::BIGINT AS bin, count(*) AS n, count(*) * 100.0::DOUBLE / sum(count(*)) OVER () AS percent FROM (SELECT value, (props->>'$.k')::BIGINT AS k FROM events) WHERE value > 100 AND value < 300 GROUP BY 1")
@@ -101,4 +106,6 @@ def mass_range_distribution(spark, d):
 @query(f"WITH {_TANI} SELECT key_1 AS key, max(tanimoto) AS tanimoto FROM t WHERE key_1 % 10 = 0 AND key_2 % 10 <> 0 GROUP BY key_1")
 def optimal_other_structure(spark, d):
     tests = table(spark, d, "supplier").filter("s_suppkey % 10 = 0").select(F.col("s_suppkey").alias("key"))
-    return E.optimal_other(_tanimoto(spark, d), tests)
+    f = _fingerprints(spark, d)
+    own, others = f.join(tests, "key", "left_semi"), f.join(tests, "key", "left_anti")
+    return E.optimal_other(nearest_by_bits(own, others, 1), tests)

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from ..functions.sets import bit_jaccard, bit_words
+from ..functions.sets import bit_jaccard, bit_words, nearest_by_bits
 from ..operators import annotation as A
 from ..operators import library as L
 from ..sources.sinks import write_mgf
@@ -62,7 +62,8 @@ def tanimoto_matrix(spark, d):
 
 @query(f"WITH {_TANI} SELECT key_1, key_2, tanimoto, rank FROM (SELECT *, row_number() OVER (PARTITION BY key_1 ORDER BY tanimoto DESC, key_2) AS rank FROM t) WHERE rank <= 10")
 def closest_structures(spark, d):
-    return L.nearest_structures(_tanimoto(spark, d), 10)
+    f = _fingerprints(spark, d)
+    return nearest_by_bits(f, f, 10)
 
 
 @query(

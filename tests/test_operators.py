@@ -131,3 +131,38 @@ def test_library_round_trip(spark, tmp_path):
     with pytest.raises(ValueError):
         Library(spectra, lib.structures, emb.limit(3), emb).check()
     assert len(CLASS_COLUMNS) == 9
+
+
+def test_nearest_fingerprints_against_all_pairs(spark, monkeypatch):
+    import random
+
+    from peakforge.functions import sets as S
+
+    monkeypatch.setattr(S, "CHUNK_ROWS", 5)
+    rng = random.Random(1)
+    prints = {f"k{i}": {rng.randrange(150) for _ in range(rng.randrange(1, 40))} for i in range(40)}
+    rows = spark.createDataFrame([(k, b) for k, bits in prints.items() for b in bits], "key string, bit long")
+    words = S.fingerprint_words(rows, "key", "bit").repartition(3)
+    for size in (16 << 20, 100):
+        monkeypatch.setattr(S, "CHUNK_BYTES", size)
+        got = sorted((r.key_1, r["rank"], r.key_2, r.tanimoto) for r in S.nearest_by_bits(words, words, 4).collect())
+        want = []
+        for a, x in prints.items():
+            best = sorted((-len(x & y) / len(x | y), b) for b, y in prints.items() if x & y)[:4]
+            want += [(a, k + 1, b, -s) for k, (s, b) in enumerate(best)]
+        assert got == sorted(want)
+
+
+def test_running_sums_over_ranges(spark):
+    from pyspark.sql import functions as F
+
+    from peakforge.operators.util import running
+
+    rows = [("a" if i % 3 else None, i, (i * 7919) % 1000) for i in range(500)]
+    df = spark.createDataFrame(rows, "g string, id long, x long").repartition(5)
+    got = {r.id: (r["rank"], r.running_sum) for r in running(df, ["g"], [F.desc("x"), "id"], "x").collect()}
+    for g in ("a", None):
+        own, total = sorted((r for r in rows if r[0] == g), key=lambda r: (-r[2], r[1])), 0
+        for k, (_, i, x) in enumerate(own, 1):
+            total += x
+            assert got[i] == (k, total)
