@@ -310,18 +310,18 @@ def _residual(members: DataFrame, signed: DataFrame, bags: DataFrame, config: Ne
     """
     head = F.col("root") == F.col("least")
     sizes = members.groupBy("bucket").agg(F.min("root").alias("least"), F.max("root").alias("most"), F.count(F.lit(1)).alias("rows"))
-    open_ = materialize(members.join(sizes.filter("least <> most and rows > 2").select("bucket", "least"), "bucket"), "open-buckets")
+    open_ = materialize(salted_join(members, sizes.filter("least <> most and rows > 2").select("bucket", "least"), "bucket", "key"), "open-buckets")
+    keys = materialize(open_.select("key").distinct(), "open-keys")
     weight = lambda side: F.greatest(F.ceil(F.sum(F.when(side, F.col("n")).otherwise(0)) / _BLOCK_SHINGLES), F.ceil(F.count_if(side) / config.block), F.lit(1)).cast("long")
     blocks = open_.groupBy("bucket").agg(weight(head).alias("heads"), weight(~head).alias("rests"))
     own = F.pmod(F.xxhash64("key"), F.when(head, F.col("heads")).otherwise(F.col("rests")))
-    open_ = open_.join(blocks, "bucket").select("bucket", "key", "root", head.alias("head"), own.alias("own"), "heads", "rests")
+    open_ = salted_join(open_, blocks, "bucket", "key").select("bucket", "key", "root", head.alias("head"), own.alias("own"), "heads", "rests")
     among = lambda n: F.sequence(F.lit(0).cast("long"), F.col(n) - 1)
     with_heads = F.transform(among("heads"), lambda j: F.struct(F.lit(0).alias("kind"), F.col("own").alias("x"), j.alias("y")))
     with_rests = F.transform(among("rests"), lambda j: F.struct(F.lit(1).alias("kind"), F.least(F.col("own"), j).alias("x"), F.greatest(F.col("own"), j).alias("y")))
     of_head = F.transform(among("rests"), lambda i: F.struct(F.lit(0).alias("kind"), i.alias("x"), F.col("own").alias("y")))
     dealt = open_.select("bucket", "key", "root", "head", F.explode(F.when(F.col("head"), of_head).otherwise(F.concat(with_heads, with_rests))).alias("at"))
     dealt = dealt.select("bucket", "key", "root", "head", "at.kind", "at.x", "at.y")
-    keys = materialize(open_.select("key").distinct(), "open-keys")
     own = materialize(_only(signed, keys).join(bags, "key"), "open-texts")
     return dealt.join(own, "key").groupBy("bucket", "kind", "x", "y").applyInPandas(_block_links(config), "a long, b long")
 
