@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..config import ION_MODES
@@ -65,12 +65,15 @@ def drop_empty(df: DataFrame, peaks: str = "peaks") -> DataFrame:
     return df.filter(F.size(peaks) > 0)
 
 
-def keep_ion_mode(df: DataFrame, mode: str, column: str = "ionmode", nulls: bool = False) -> DataFrame:
-    """Rows of one ion mode; with ``nulls`` also rows without one."""
+def keep_ion_mode(df: DataFrame, mode: str, column: str = "ionmode", nulls: bool = False, report: Observation | None = None) -> DataFrame:
+    """Rows of one ion mode; with ``nulls`` also rows without one. ``report`` gets ``kept`` and ``removed`` when the result is
+    computed."""
     if mode not in ION_MODES:
         raise ValueError(f"ion mode must be one of {ION_MODES}: {mode!r}")
-    same = F.col(column) == mode
-    return df.filter(same | F.col(column).isNull() if nulls else same)
+    same = F.coalesce(F.col(column) == mode, F.lit(nulls))
+    if report is not None:
+        df = df.observe(report, F.count_if(same).alias("kept"), F.count_if(~same).alias("removed"))
+    return df.filter(same)
 
 
 def check_ion_mode(df: DataFrame, library_mode: str | None, column: str = "ionmode") -> DataFrame:

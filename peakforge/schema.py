@@ -16,7 +16,7 @@ SPECTRUM = T.StructType(
     ]
 )
 
-#: Metadata keys that become typed columns, with their types.
+#: Metadata keys that become typed columns, with their types.
 PROMOTED = {
     "precursor_mz": "double",
     "charge": "int",
@@ -32,6 +32,7 @@ PROMOTED = {
     "feature_id": "string",
 }
 
+#: Names and order of class and result columns, which result files have.
 CLASS_COLUMNS = (
     "cf_kingdom", "cf_superclass", "cf_class", "cf_subclass", "cf_direct_parent",
     "npc_class_results", "npc_superclass_results", "npc_pathway_results", "npc_isglycoside",

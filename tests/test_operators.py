@@ -166,3 +166,17 @@ def test_running_sums_over_ranges(spark):
         for k, (_, i, x) in enumerate(own, 1):
             total += x
             assert got[i] == (k, total)
+
+
+def test_ion_modes_are_counted_and_asserted(spark):
+    from pyspark.sql import Observation
+
+    from peakforge.operators import cleaning as C
+
+    df = spark.createDataFrame([(1, "positive"), (2, "negative"), (3, None)], "spectrum_id long, ionmode string")
+    report = Observation()
+    assert [r.spectrum_id for r in C.keep_ion_mode(df, "positive", report=report).collect()] == [1]
+    assert report.get == {"kept": 1, "removed": 2}
+    assert C.check_ion_mode(df.filter("spectrum_id <> 2"), "positive").count() == 2
+    with pytest.raises(Exception, match="a query of negative"):
+        C.check_ion_mode(df, "positive").collect()
