@@ -90,7 +90,7 @@ NEAR = """WITH RECURSIVE t AS (SELECT text, min(doc_id) AS id FROM documents WHE
 
 
 def url_sql() -> str:
-    """For fewer labelled URLs than the sample holds, so that its order plays no part."""
+    """Fitted and calibrated on all labelled URLs."""
     c, k = MarkovConfig(), MarkovConfig().order + 1
     rules = sorted(URL_RULES, key=lambda r: (-len(r.name), r.name))
     fits = [f"(host = {_text(r.host)} OR ends_with(host, {_text('.' + r.host)})) AND starts_with(path, {_text(r.path)})" for r in rules]

@@ -5,8 +5,8 @@ One model is fitted to accepted URLs, one to rejected URLs. A character's probab
 the difference of its log-likelihoods under the two models divided by its number of symbols, and a threshold
 calibrated on held-out labelled URLs turns the score into a verdict.
 
-Everything is DataFrame work: positions are exploded once per distinct URL, the model tables (all grams of a sample of
-``max_urls`` URLs a class) are broadcast after a check of their size, and partial sums leave one row per URL for the shuffle.
+Everything is DataFrame work: positions are exploded once per distinct URL, the model tables (all grams of all labelled URLs
+that don't calibrate) are broadcast after a check of their size, and partial sums leave one row per URL for the shuffle.
 """
 
 from __future__ import annotations
@@ -67,11 +67,9 @@ def rule_verdict(rule: Column, rules=RULES) -> Column:
 
 @dataclass(frozen=True)
 class MarkovConfig:
-    """``max_urls``: labelled URLs per class that are fitted or calibrated on, the first by hash (a bounded sample);
-    ``alphabet``: number of symbols of the uniform base distribution."""
+    """``alphabet``: number of symbols of the uniform base distribution."""
 
     order: int = 3
-    max_urls: int = 4000
     alphabet: int = 256
 
 
@@ -103,27 +101,26 @@ def fold_of(url: Column) -> Column:
 
 
 def fit_markov_ratio(labelled: DataFrame, config: MarkovConfig | None = None) -> MarkovRatio:
-    """Fit on ``labelled`` (url, accepted boolean). Null URLs are ignored; a class without URLs has an empty model.
+    """Fit on all of ``labelled`` (url, accepted boolean). Null URLs are ignored; a class without URLs has an empty model.
 
-    A quarter of the sample (by hash) calibrates the threshold: the cut with the largest sum of the two classes' hit
+    A quarter of the URLs (by hash) calibrates the threshold: the cut with the largest sum of the two classes' hit
     rates, the lowest such cut on ties, midway between the scores at either side; 0 if a class is absent from it.
     """
     config = config or MarkovConfig()
-    spark = labelled.sparkSession
     k = config.order + 1
-    h = F.xxhash64("url")
-    base = labelled.filter(F.col("url").isNotNull()).select("url", "accepted")
-    parts = [
-        base.filter(F.col("accepted") if y else ~F.col("accepted")).distinct().orderBy(h, "url").limit(config.max_urls)
-        for y in (True, False)
-    ]
-    sample = materialize(parts[0].unionByName(parts[1]).withColumn("fold", fold_of(F.col("url"))), "url-sample")
-
-    pos = _positions(sample.filter("fold <> 0"), "url", config.order)
+    base = labelled.filter(F.col("url").isNotNull() & F.col("accepted").isNotNull()).select("url", "accepted").distinct()
+    base = materialize(base.withColumn("fold", fold_of(F.col("url"))), "url-labels")
+
+    longest = (
+        _positions(base.filter("fold <> 0"), "url", config.order)
+        .groupBy(F.col(f"g{k}").alias("longest"))
+        .agg(F.count_if(F.col("accepted")).alias("a"), F.count_if(~F.col("accepted")).alias("r"))
+    )
+    # All grams of a symbol end at it, so the shorter ones are ends of the longest and counted from its counts.
     counts = (
-        pos.select("accepted", F.explode(F.array(*[F.col(f"g{j}") for j in range(1, k + 1)])).alias("gram"))
+        longest.select("a", "r", F.explode(F.array(*[F.substring(F.col("longest"), F.lit(k + 1 - j), F.lit(j)) for j in range(1, k + 1)])).alias("gram"))
         .groupBy("gram")
-        .agg(F.count_if(F.col("accepted")).alias("a"), F.count_if(~F.col("accepted")).alias("r"))
+        .agg(F.sum("a").alias("a"), F.sum("r").alias("r"))
         .withColumn("n", F.length("gram"))
     )
     counts = materialize(counts, "url-grams")
@@ -140,19 +137,37 @@ def fit_markov_ratio(labelled: DataFrame, config: MarkovConfig | None = None) ->
     root = model.filter("n = 1").agg(F.sum("a"), F.count_if(F.col("a") > 0), F.sum("r"), F.count_if(F.col("r") > 0)).first()
     out = MarkovRatio(config, model, tuple(int(x or 0) for x in root), 0.0)
 
-    held = score_urls(sample.filter("fold = 0").select("url").distinct(), out).join(sample.filter("fold = 0").select("url", "accepted"), "url")
-    w = Window.orderBy("score").rowsBetween(Window.unboundedPreceding, Window.currentRow)  # bounded: two classes of max_urls
+    held = base.filter("fold = 0")
+    out.threshold = best_cut(score_urls(held.select("url").distinct(), out).join(held.select("url", "accepted"), "url"))
+    return out
+
+
+def best_cut(scored: DataFrame) -> float:
+    """The cut of rows (score, accepted) that ``fit_markov_ratio`` describes; 0 if a class is absent.
+
+    Scores are dealt by range; sums per range, of which there are few, give what lies below each.
+    """
+    parts = int(scored.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    counts = scored.groupBy("score").agg(F.count_if(F.col("accepted")).alias("a"), F.count_if(~F.col("accepted")).alias("r"))
+    counts = materialize(counts.repartitionByRange(parts, "score").withColumn("part", F.spark_partition_id()), "url-scores")
+    before, all_parts = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy()  # a row per range
+    ranges = counts.groupBy("part").agg(F.sum("a").alias("a"), F.sum("r").alias("r"), F.max("score").alias("top"))
+    ranges = ranges.select(
+        "part", *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"{c}0") for c in ("a", "r")], F.max("top").over(before).alias("top0"),
+        *[F.sum(c).over(all_parts).alias(f"all_{c}") for c in ("a", "r")],
+    )
+    own = Window.partitionBy("part").orderBy("score")
+    w = own.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     best = (
-        held.groupBy("score").agg(F.count_if(F.col("accepted")).alias("a"), F.count_if(~F.col("accepted")).alias("r"))
-        .withColumns({"below_a": F.sum("a").over(w) - F.col("a"), "below_r": F.sum("r").over(w) - F.col("r"), "all_a": F.sum("a").over(Window.partitionBy()), "all_r": F.sum("r").over(Window.partitionBy()), "lower": F.lag("score").over(Window.orderBy("score"))})
+        counts.join(F.broadcast(ranges), "part")
+        .withColumns({"below_a": F.col("a0") + F.sum("a").over(w) - F.col("a"), "below_r": F.col("r0") + F.sum("r").over(w) - F.col("r"), "lower": F.coalesce(F.lag("score").over(own), "top0")})
         .filter("all_a > 0 and all_r > 0")
         .withColumn("gain", F.col("below_r") / F.col("all_r") - F.col("below_a") / F.col("all_a"))
         .orderBy(F.desc("gain"), "score")
         .select(((F.col("score") + F.coalesce("lower", "score")) / 2).alias("cut"))
         .first()
     )
-    out.threshold = float(best[0]) if best else 0.0
-    return out
+    return float(best[0]) if best else 0.0
 
 
 def score_urls(urls: DataFrame, model: MarkovRatio) -> DataFrame:
